@@ -146,10 +146,20 @@ class SignatureTree:
 
 
 def join_signatures(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Id pairs of a spanning forest of what the bitmaps alone cannot exclude."""
-    width = min(map(len, maps))
-    tree = SignatureTree(sizes, np.stack([folded(m, width) for m in maps]))
-    return [(ids[p], ids[q]) for p, q in tree.join(percent, np.arange(len(ids)), None)]
+    """Id pairs of a spanning forest of what the bitmaps alone cannot exclude; sizes ascend.
+
+    Each width of bitmap has a tree of its own, over the documents of that width and the few
+    wider ones that are small enough to be linked with them (folded to it).
+    """
+    widths, out = np.array(list(map(len, maps))), []
+    labels = np.arange(len(ids))
+    for width in np.unique(widths):
+        limit = int(sizes[widths == width].max()) * 100
+        at = np.flatnonzero((widths == width) | ((widths > width) & (sizes * percent <= limit)))
+        if len(at) > 1:
+            tree = SignatureTree(sizes[at], np.stack([folded(maps[k], width) for k in at]))
+            out += [(ids[at[p]], ids[at[q]]) for p, q in tree.join(percent, labels[at], None)]
+    return out
 
 
 def join_sets(ids: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
