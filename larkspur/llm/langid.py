@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textbytes as tb
+from larkspur.llm.storage import small_batches
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 16
@@ -150,6 +151,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     with score 0; so is every text if nothing was learned. Null languages are not learned.
     Columns of ``docs`` named like a result are replaced.
     """
+    small_batches(docs.sparkSession)
     model = fit(training_sample(train, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x bits integers at most
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import connected_components
-from larkspur.llm.storage import bit_filter, maybe_in, written
+from larkspur.llm.storage import bit_filter, maybe_in, small_batches, written
 
 #: Slots of the count table that orders shingles (2**18 * 8 bytes, whatever the data).
 COUNT_BITS = 18
@@ -362,6 +362,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     part and gets a null component. Rows that repeat an id are each a row; if their texts differ
     they are searched as separate documents of one name. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = written(profiles(rows, words, percent), "join-profiles")
     groups = written(known.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "join-groups")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import written
+from larkspur.llm.storage import small_batches, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters than GIANT are split into chunks of CHUNK characters.
@@ -332,6 +332,7 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
         out = vocabulary(model).whole.encode([x.as_py() or "" for x in column], num_threads=1)
         return pa.array(out, pa.list_(pa.int32()))
 
+    small_batches(docs.sparkSession)
     long = F.coalesce(F.length(text_col), F.lit(0)) > giant
     small = docs.where(~long).select(*keep, direct(F.col(text_col)).alias(ids_col))
     giants = written(docs.where(long).select(F.expr("uuid()").alias("__key"), *keep), "piece-giants")

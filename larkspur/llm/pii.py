@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.storage import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 MAX_UNITS, MAX_CHARS = 16, 80
 
@@ -316,4 +318,5 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         cols = list(zip(*rows, strict=True)) or [()] * 7
         return pa.StructArray.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(cols)], ["n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), scan(F.col(text_col)).alias("__found")).select(id_col, "__found.*")

@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textbytes as tb
+from larkspur.llm.storage import small_batches
 
 SLOTS = 1 << 18
 #: Bound of the training sample: documents, and characters per training document (longer ones
 #: are not sampled; scores read whole texts).
-SAMPLE_DOCS, SAMPLE_CHARS = 6000, 20_000
+SAMPLE_DOCS, SAMPLE_CHARS = 4000, 12_000
 #: FTRL-proximal: learning rate, its smoothing, L1, L2; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 1e-4, 1e-4, 4
 GAIN = 16.0  # frequencies are multiplied by this
@@ -99,7 +100,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 6) -> QualityModel:
     examples = []
     for (_, label), slots in zip(rows, each_features(pa.array([t for t, _ in rows], pa.string())), strict=True):
         at, count = np.unique(slots, return_counts=True)
-        examples.append((np.append(at, SLOTS), np.append(GAIN * count / max(1, len(slots)), 1.0), label))
+        examples.append((np.append(at, SLOTS).astype(np.int32), np.append(GAIN * count / max(1, len(slots)), 1.0).astype(np.float32), label))
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
         for k in rng.permutation(len(examples)):
@@ -130,6 +131,7 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Data
     A null or empty text has the score of no features, the model's bias. Columns of ``docs``
     named like a result are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS weights
 
     @F.arrow_udf("double")

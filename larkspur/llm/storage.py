@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: log2 of the bits in a membership filter. 2**23 bits are 1 MB, the bound of what is broadcast.
 FILTER_LOG2_BITS = 23
-_BLOCK_BITS = 8 * 4096 * 8  # bits of one bitmap_construct_agg bucket (32 KiB)
+TEXT_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in batches of at most TEXT_ROWS rows, unless the session says otherwise.
+
+    The default of 10,000 rows is tens of MB of text at once, held by the JVM and each worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(TEXT_ROWS))
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_dir(spark)}/larkspur/{label}-{uuid.uuid4().hex}"

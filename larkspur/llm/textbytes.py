@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes worked on at a time
+PIECE = 1 << 18  # bytes worked on at a time
 
 _SEED = 0x9E3779B97F4A7C15
 _U = np.uint64

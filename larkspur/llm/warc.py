@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.storage import fresh_path, written
+from larkspur.llm.storage import fresh_path, small_batches, written
 
 #: An archive is closed when it passes this size; so a file's index entries are a bounded group.
 FILE_BYTES = 256 << 20
@@ -87,6 +87,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     too, and a null id sorts after every id. An empty table writes no archive.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     directory = directory or fresh_path(spark, "warc")
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
