@@ -14,9 +14,12 @@ border of all segmentations; between the first and last of a chunk the library e
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters than GIANT are split into chunks of CHUNK characters.
 GIANT, CHUNK = 1 << 15, 1 << 14
 SPACE = "▁"
+#: Words whose ids a worker keeps at most (it starts anew beyond).
+KEPT_WORDS = 300_000
+_WORD = re.compile("▁*[^▁]+|▁+")
 START = (0, 0)  # the state before the first piece
 
 State = tuple[int, int]  # of the piece over border p: (p - its start, its end - p)
@@ -54,6 +60,7 @@ class Vocabulary:
             raise ValueError("a piece holds a space mark after another character")
         self.bytes = [self.whole.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.longest = max(map(len, self.ids))
+        self._words: dict[str, bytes] = {}
         self._fit: dict[tuple[str, str], bool] = {}
         self._alone: dict[str, bool] = {}
 
@@ -80,6 +87,20 @@ class Vocabulary:
         found = [s for n in range(1, min(self.longest, len(text) - p) + 1) if (s := text[p : p + n]) in self.ids and self.alone(s)]
         return found if text[p] in self.ids else [text[p], *found]
 
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of whole texts of one chunk each. Every segmentation breaks before a space
+        mark that follows another character, so words between such places are encoded once and kept."""
+        split = [_WORD.findall(normalised(t)) for t in texts]
+        known = self._words
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = list({w for words in split for w in words if w not in known})
+        for w, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
+            known[w] = array("i", ids).tobytes()
+        found = [b"".join([known[w] for w in words]) for words in split]
+        offsets = np.cumsum([0, *(len(x) // 4 for x in found)])
+        return offsets, np.frombuffer(b"".join(found), dtype=np.int32)
+
     def id_list(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for s in pieces:
@@ -329,8 +350,8 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
 
     @F.arrow_udf("array<int>")
     def direct(column: pa.Array) -> pa.Array:
-        out = vocabulary(model).whole.encode([x.as_py() or "" for x in column], num_threads=1)
-        return pa.array(out, pa.list_(pa.int32()))
+        offsets, ids = vocabulary(model).encode_texts([x or "" for x in column.to_pylist()])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
     small_batches(docs.sparkSession)
     long = F.coalesce(F.length(text_col), F.lit(0)) > giant
@@ -350,8 +371,11 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
-        lists = column.to_pylist()
-        found = iter(vocabulary(model).whole.decode([x for x in lists if x is not None]))
-        return pa.array([None if x is None else next(found) for x in lists], pa.string())
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        at, ids = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+        there = column.is_valid().to_pylist()
+        found = iter(vocabulary(model).whole.decode([ids[i:j].tolist() for i, j, ok in zip(at[:-1], at[1:], there, strict=True) if ok]))
+        return pa.array([next(found) if ok else None for ok in there], pa.string())
 
     return docs.withColumn(text_col, text(F.col(ids_col)))
