@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.storage import small_batches, written
@@ -363,6 +363,12 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
     return small.unionByName(giants.join(ids, F.col("__key") == F.col("key")).select(*keep, F.col("ids").alias(ids_col)))
 
 
+def came_back(decoded: str = "decoded", text: str = "text") -> Column:
+    """Whether a decoded text is the text it came from (space marks in it count as spaces)."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return (F.col(decoded) == whole) | (F.col(decoded) == F.translate(whole, SPACE, " "))
+
+
 def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", model: str = MODEL) -> DataFrame:
     """``docs`` with ``text_col`` added: the text of the ids. Null ids give null, no ids the empty text.
 
