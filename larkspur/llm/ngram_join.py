@@ -254,7 +254,7 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 s = tb.shingles(h, words)
                 n.append(len(s))
                 if not len(s):
-                    key.append(None), prefix.append([]), maps.append(b"")
+                    key.append(None), prefix.append(np.zeros(0, np.int64)), maps.append(b"")
                     continue
                 m = tb.mix(s)
                 key.append(m.sum().tobytes() + np.bitwise_xor.reduce(m * _U(0x9E3779B97F4A7C15) ^ (m >> _U(32))).tobytes())
@@ -262,7 +262,7 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 ranked = (levels.value[(s >> _U(64 - COUNT_BITS)).astype(np.int64)] << _U(56)) | (tb.mix(s + _U(1)) >> _U(8))
                 prefix.append(np.partition(ranked, keep - 1)[:keep].view(np.int64))
                 maps.append(signature(s, signature_bits(len(s), percent)).tobytes())
-            flat = np.concatenate(prefix).astype(np.int64) if prefix else np.zeros(0, np.int64)
+            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, kinds[1]), pa.array(key, kinds[2]), lists, pa.array(maps, kinds[4])], names=names)
 

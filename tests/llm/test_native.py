@@ -1,0 +1,183 @@
+"""Exact dedup, url filter, components, WARC, top-k: against brute force on small fixtures."""
+
+import base64
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import exact_dedup, graph, mtree, storage, url_filter, warc
+from larkspur.llm.queries import URL_RULES
+
+DOCS = "doc_id long, text string, digest string, kept int, host string, n long"  # clashing names
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def docs_of(spark, texts):
+    return spark.createDataFrame([(i, t, "d", 1, "h", 0) for i, t in texts], DOCS)
+
+
+def components(nodes, pairs):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {n: top(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    r = random.Random(seed)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(200, k) for k in range(201, 260)] + [(5, 5)]
+    df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
+    want = components({n for p in pairs for n in p}, pairs)
+    got = dict(graph.connected_components(df, "a", "b").collect())
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    assert got == {n: c for n, c in want.items() if n in linked}
+    assert graph.connected_components(df.limit(0), "a", "b").count() == 0
+
+
+def test_filter_and_without_keys(spark):
+    df = spark.range(2000).toDF("id")
+    keys = df.where("id % 7 = 0")
+    bits = storage.bit_filter(keys, "id")
+    kept = {r.id for r in storage.maybe_in(df, F.col("id"), bits).collect()}
+    assert kept >= set(range(0, 2000, 7)) and len(kept) < 300
+    left = storage.without_keys(spark.createDataFrame([(1, "a"), (7, "b"), (None, "c"), (7, "d")], "id long, block string"), F.col("id"), keys, "t")
+    assert rows(left) == [(1, "a"), (None, "c")]
+
+
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_dedup(spark, keep):
+    texts = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (5, "b"), (6, "x" * 300_000), (7, "x" * 300_000), (8, "A"), (None, "a"), (None, "z"), (9, "a ")]
+    got = rows(exact_dedup.exact_dedup(docs_of(spark, texts), keep=keep))
+    pick = max if keep == "largest" else min
+    want = []
+    for i, t in texts:
+        same = [j for j, u in texts if (u or "") == (t or "")]
+        best = pick([j for j in same if j is not None], default=None)
+        want.append((i, best, len(same), i == best, hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want, key=str)
+    assert exact_dedup.exact_dedup(docs_of(spark, []), keep=keep).count() == 0
+    left = exact_dedup.drop_exact_copies(docs_of(spark, texts), keep=keep)
+    assert left.columns == ["doc_id", "text", "digest", "kept", "host", "n"]
+    assert [r.doc_id for r in left.orderBy("doc_id").collect()] == ([None, 2, 4, 5, 7, 8, 9] if keep == "largest" else [None, 1, 3, 5, 6, 8, 9])
+
+
+def test_lsm_runs(spark):
+    index = exact_dedup.DigestIndex(spark)
+    index.ingest(docs_of(spark, [(1, "a"), (2, "b")]))
+    index.ingest(docs_of(spark, [(3, "a"), (4, "c")]))
+    assert sorted((r.id, r.keep_id, r.group_size) for r in index.resolve().collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
+
+
+def brute_url(url):
+    rest = url.split("://", 1)[1] if url and "://" in url else ""
+    cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+    host, tail = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:]
+    path = tail[: min([tail.find(c) for c in "?#" if c in tail], default=len(tail))]
+    fit = [(h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, max(fit, key=lambda x: len(x[0]), default=(None, None))
+
+
+def test_url_filter(spark):
+    urls = ["http://A.Example.NET/en/1?x#y", "https://example.net/de/2", "http://x.net", "http://net/", "http://planet/", "ftp://b.example.com/de/", "http://example.org/fr/3", "http://Ünet.org/FR/", "nothing", "", None, "http://", "://net/a", "http://q.com?a://b.net/", "http://n.net#/f", "http://a.net/x\ny"]
+    df = spark.createDataFrame([(i, u, "old", "old") for i, u in enumerate(urls)], "page_id long, url string, verdict string, block string")
+    got = {r.page_id: r for r in url_filter.filter_urls(df, URL_RULES).collect()}
+    for i, u in enumerate(urls):
+        host, path, (rule, verdict) = brute_url(u)
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict or "allow"), u
+        assert got[i].block == "old"
+    many = URL_RULES + [("block", f"h{k}.test", "/") for k in range(url_filter.INLINE_RULES)]
+    joined = url_filter.filter_urls(df, many)
+    assert {(r.page_id, r.rule, r.verdict) for r in joined.collect()} == {(i, r.rule, r.verdict) for i, r in got.items()}
+    assert url_filter.filter_urls(df.limit(0), URL_RULES).count() == 0
+
+
+def test_url_classes(spark):
+    pages = [
+        (1, "http://a.com/x#f", "<link rel=canonical href='http://bad.net/p'>"),  # alias of a blocked url
+        (2, "http://b.com/y", '<LINK HREF="http://a.com/x" REL="canonical">'),  # alias of an alias
+        (3, "http://bad.net/p", None),
+        (4, "http://c.com/z", '<meta http-equiv="refresh" content="0; url=/w">'),
+        (5, "http://c.com/w", "<link rel='stylesheet' href='http://bad.net/p'>"),  # not an alias
+        (6, "http://d.com/1", '<link rel="canonical" href="//bad.net/q"><link rel="canonical" href="http://example.net/en/k">'),  # blocked and allowed
+        (7, "http://example.net/en/k", ""),
+        (8, "http://e.com/dir/a", '<link rel="canonical" href="b">'),
+        (9, "http://e.com/dir/b", '<link rel="canonical" href="http://bad.net/r">'),
+        (10, None, '<link rel="canonical" href="http://bad.net/r">'),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(df, URL_RULES, url_filter.link_edges(df)).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow"}
+
+
+def test_warc(spark):
+    big = "é" * 3_000_000
+    pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "u", None), (5, "v", ""), (7, "w", big), (4, "x", "\r\n\r\nWARC/1.1"), (1, "again", "same"), (None, "n", "same"), (9, "y", big)]
+    df = spark.createDataFrame([(*p, "f") for p in pages], "page_id long, url string, html string, file string").repartition(3)
+    index = warc.write_archives(df)
+    assert index.count() == len(pages)
+    got = rows(warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    want = []
+    for i, _, html in pages:
+        body = (html or "").encode()
+        first = min(j for j, _, h in pages if (h or "").encode() == body and j is not None)
+        want.append((i, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "response" if i == first else "revisit", None if i == first else first))
+    assert got == sorted(want, key=str)
+    some = warc.read_records(index.where("page_id in (4, 7)"), with_payload=True)
+    assert {r.page_id: bytes(r.payload).decode() for r in some.collect()} == {4: "\r\n\r\nWARC/1.1", 7: big}
+    assert warc.read_records(warc.write_archives(df.limit(0))).count() == 0
+
+
+def test_ranges_are_coalesced(spark):
+    rows_ = [("f", o, 100) for o in (0, 100, 200, 900_000, 900_100)] + [("g", 5, 1)]
+    df = spark.createDataFrame(rows_, "file string, offset long, length long")
+    got = sorted((r.file, r.start, r.stop, len(r.entries)) for r in warc.byte_ranges(df).collect())
+    assert got == [("f", 0, 300, 3), ("f", 900_000, 900_200, 2), ("g", 5, 6, 1)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_m_tree(seed):
+    rng = np.random.default_rng(seed)
+    centres = rng.integers(-200, 200, (8, 6))
+    x = np.concatenate([centres[rng.integers(0, 8, 900)] + rng.integers(-4, 5, (900, 6)), np.repeat(centres[:1], 60, 0)])
+    ids = rng.permutation(len(x))
+    tree = mtree.MTree(ids, x, page=32)
+    for k in range(0, 960, 48):
+        scores = x @ x[k]
+        order = [j for j in np.lexsort((ids, -scores)) if j != k][:5]
+        assert tree.search(x[k], 5, skip=int(ids[k])) == [(int(scores[j]), int(ids[j])) for j in order]
+    tree.computed = 0
+    tree.search(x[0], 5)
+    assert tree.computed < len(x)  # bounds spare distances
+    assert mtree.MTree(np.array([], np.int64), np.zeros((0, 3), np.int64)).search(x[0, :3], 5) == []
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_VECTORS", 20)
+    rng = np.random.default_rng(5)
+    data = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(100)] + [(100, [1.0, 0.0, 0.0, 0.0]), (150, [1.0]), (200, None), (250, [1.0, None]), (300, [float("nan")]), (350, [float("inf")]), (None, [1.0]), (400, [])]
+    df = spark.createDataFrame([(*d, 1) for d in data], "vec_id long, embedding array<double>, rank int")
+    v = mtree.quantised(df, "vec_id", "embedding")
+    vec = {i: [int(np.floor(256 * x)) for x in e] for i, e in data if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)}
+    assert set(vec) == {r.vec_id for r in v.collect()} and 200 not in vec
+    want = []
+    for q in [i for i in vec if i % 50 == 0]:
+        scored = sorted((-sum(a * b for a, b in zip(vec[q], vec[c])), c) for c in vec if c != q)[:5]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored)]
+    assert rows(mtree.top_k(v, v.where("vec_id % 50 = 0"), 5)) == sorted(want, key=str)
+    assert mtree.top_k(v.limit(0), v.limit(0), 5).count() == 0
+    two = v.where("vec_id in (0, 50, 51)")
+    assert mtree.top_k(two, two.where("vec_id = 0"), 5).count() == 2
