@@ -33,7 +33,7 @@ COUNT_BITS = 18
 #: a larger block joins one coarse class unsearched (a superset; exact verification follows).
 BLOCK_DOCS = 512
 #: Shingles that one verification task holds; a coarse class beyond it is dealt to chunks.
-CHUNK_SHINGLES = 1_000_000
+CHUNK_SHINGLES = 200_000
 _LEAF, _FANOUT = 16, 8
 _U = np.uint64
 
