@@ -161,6 +161,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
         if not m.languages:
             return pa.StructArray.from_arrays([pa.array([None] * len(column), pa.string()), pa.array(np.zeros(len(column))), pa.array([True] * len(column))], ["lang", "score", "ambiguous"])
         best, score, unsure = m.predict(column)
+        tb.release()
         return pa.StructArray.from_arrays([pa.array([m.languages[i] for i in best], pa.string()), pa.array(score), pa.array(unsure)], ["lang", "score", "ambiguous"])
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "ambiguous")]

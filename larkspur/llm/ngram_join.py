@@ -222,6 +222,7 @@ def _count_table(texts: DataFrame, words: int) -> np.ndarray:
             for h in tb.each_words(b.column(0)):
                 s = tb.shingles(h, words)
                 total[(s >> _U(64 - COUNT_BITS)).astype(np.int64)] += 1  # a slot counts once per document
+            tb.release()
         yield _batch(["part", "counts"], [list(range(parts)), [total[k * each : (k + 1) * each].tobytes() for k in range(parts)]], [pa.int32(), pa.binary()])
 
     def add(table: pa.Table) -> pa.Table:
@@ -264,6 +265,7 @@ def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 maps.append(signature(s, signature_bits(len(s), percent)).tobytes())
             flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(flat, pa.int64()))
+            tb.release()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, kinds[1]), pa.array(key, kinds[2]), lists, pa.array(maps, kinds[4])], names=names)
 
     return docs.select("id", "text").mapInArrow(profile, "id long, n long, set_key binary, prefix array<long>, map binary")

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm import textbytes as tb
 from larkspur.llm.storage import small_batches, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,7 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT, CHUNK = 1 << 15, 1 << 14
 SPACE = "▁"
 #: Words whose ids a worker keeps at most (it starts anew beyond).
-KEPT_WORDS = 300_000
+KEPT_WORDS = 30_000
+TEXTS_AT_ONCE = 100
 _WORD = re.compile("▁*[^▁]+|▁+")
 START = (0, 0)  # the state before the first piece
 
@@ -90,14 +92,15 @@ class Vocabulary:
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of whole texts of one chunk each. Every segmentation breaks before a space
         mark that follows another character, so words between such places are encoded once and kept."""
-        split = [_WORD.findall(normalised(t)) for t in texts]
-        known = self._words
-        if len(known) > KEPT_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for w, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
-            known[w] = array("i", ids).tobytes()
-        found = [b"".join([known[w] for w in words]) for words in split]
+        known, found = self._words, []
+        for i in range(0, len(texts), TEXTS_AT_ONCE):  # a worker's memory is not that of a whole batch
+            split = [_WORD.findall(normalised(t)) for t in texts[i : i + TEXTS_AT_ONCE]]
+            if len(known) > KEPT_WORDS:
+                known.clear()
+            new = list({w for words in split for w in words if w not in known})
+            for w, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
+                known[w] = array("i", ids).tobytes()
+            found += [b"".join([known[w] for w in words]) for words in split]
         offsets = np.cumsum([0, *(len(x) // 4 for x in found)])
         return offsets, np.frombuffer(b"".join(found), dtype=np.int32)
 
@@ -340,27 +343,41 @@ def _encode_giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
     return traced.groupBy("key").agg(F.flatten(F.transform(ordered, lambda x: x["ids"])).alias("ids"))
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK, check_col: str | None = None) -> DataFrame:
     """``docs`` with ``ids_col`` array<int> added, the ids of the whole text (other columns stay).
 
+    With ``check_col``, also a boolean of that name: whether decoding the ids gives the text.
+
     A null or empty text has no ids. The ids equal the library's own encoding of the text. Rows
     with equal ids or texts each keep their row; a column named ``ids_col`` is replaced.
     """
-    keep = [f"`{c}`" for c in docs.columns if c != ids_col]
+    keep = [f"`{c}`" for c in docs.columns if c not in (ids_col, check_col)]
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<ids:array<int>, same:boolean>")
     def direct(column: pa.Array) -> pa.Array:
-        offsets, ids = vocabulary(model).encode_texts([x or "" for x in column.to_pylist()])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+        v, texts = vocabulary(model), [x or "" for x in column.to_pylist()]
+        at, ids = v.encode_texts(texts)
+        if check_col:  # here, so that one worker per task does both ways
+            back = v.whole.decode([ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)])
+            same = pa.array([x == y.replace(SPACE, " ") for x, y in zip(back, texts, strict=True)], pa.bool_())
+        else:
+            same = pa.nulls(len(texts), pa.bool_())
+        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+        tb.release()
+        return pa.StructArray.from_arrays([lists, same], ["ids", "same"])
 
     small_batches(docs.sparkSession)
     long = F.coalesce(F.length(text_col), F.lit(0)) > giant
-    small = docs.where(~long).select(*keep, direct(F.col(text_col)).alias(ids_col))
+    made = docs.where(~long).select(*keep, direct(F.col(text_col)).alias("__made"))
+    small = made.select(*keep, F.col("__made.ids").alias(ids_col), *([F.col("__made.same").alias(check_col)] if check_col else []))
     giants = written(docs.where(long).select(F.expr("uuid()").alias("__key"), *keep), "piece-giants")
     if giants.isEmpty():
         return small
     ids = _encode_giants(giants.select("__key", text_col), model, chunk)
-    return small.unionByName(giants.join(ids, F.col("__key") == F.col("key")).select(*keep, F.col("ids").alias(ids_col)))
+    large = giants.join(ids.withColumnRenamed("ids", "__ids"), F.col("__key") == F.col("key"))
+    if check_col:
+        large = decode(large, "__ids", "__decoded", model).withColumn(check_col, came_back("__decoded", text_col))
+    return small.unionByName(large.select(*keep, F.col("__ids").alias(ids_col), *([check_col] if check_col else [])))
 
 
 def came_back(decoded: str = "decoded", text: str = "text") -> Column:

@@ -136,7 +136,9 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Data
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(column))
+        found = shared.value.scores(column)
+        tb.release()
+        return pa.array(found)
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
     return docs.select(*keep, score(F.col(text_col)).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

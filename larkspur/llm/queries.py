@@ -28,8 +28,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), pieces.came_back().alias("round_trip"))
+    both = pieces.encode(docs, check_col="round_trip")
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: log2 of the bits in a membership filter. 2**23 bits are 1 MB, the bound of what is broadcast.
 FILTER_LOG2_BITS = 23
-TEXT_ROWS = 1000
+TEXT_ROWS = 400
 
 
 def shared_dir(spark: SparkSession) -> str:

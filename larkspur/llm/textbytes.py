@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+_calls = 0
+
+
+def release() -> None:
+    """Give memory that a reused worker has freed back to the system, now and then."""
+    global _calls
+    _calls += 1
+    if _calls % 8 == 0:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim is not None:
+            trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), element by element."""
     x = x.astype(np.uint64, copy=True)

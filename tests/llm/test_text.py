@@ -132,7 +132,9 @@ def test_pieces_in_spark(spark):
     got = out.collect()
     assert len(got) == len(texts) and all(x.same for x in got) and "component" in out.columns
     assert sorted((x.doc_id, x.ids) for x in got) == sorted((i, v.whole.encode(t or "")) for i, t in texts)
-    assert pieces.encode(docs_of(spark, [])).count() == 0
+    both = pieces.encode(docs_of(spark, texts), giant=200, chunk=64, check_col="same").collect()
+    assert all(x.same for x in both) and sorted((x.doc_id, x.ids) for x in both) == sorted((x.doc_id, x.ids) for x in got)
+    assert pieces.encode(docs_of(spark, []), check_col="same").count() == 0
 
 
 def brute_pii(t):
