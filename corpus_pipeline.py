@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every whole text, with a check that they decode to it."""
-    both = pieces.decode(pieces.encode(docs))
-    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", pieces.came_back().alias("round_trip"))
+    both = pieces.encode(docs, check_col="round_trip")
+    return both.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 STAGES = [
