@@ -33,7 +33,8 @@ GIANT, CHUNK = 1 << 15, 1 << 14
 SPACE = "▁"
 #: Words whose ids a worker keeps at most (it starts anew beyond).
 KEPT_WORDS = 30_000
-TEXTS_AT_ONCE = 100
+#: Chunks of giant texts that a worker turns into rows at a time.
+CHUNKS_AT_ONCE = 16
 _WORD = re.compile("▁*[^▁]+|▁+")
 START = (0, 0)  # the state before the first piece
 
@@ -92,15 +93,14 @@ class Vocabulary:
     def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of whole texts of one chunk each. Every segmentation breaks before a space
         mark that follows another character, so words between such places are encoded once and kept."""
-        known, found = self._words, []
-        for i in range(0, len(texts), TEXTS_AT_ONCE):  # a worker's memory is not that of a whole batch
-            split = [_WORD.findall(normalised(t)) for t in texts[i : i + TEXTS_AT_ONCE]]
-            if len(known) > KEPT_WORDS:
-                known.clear()
-            new = list({w for words in split for w in words if w not in known})
-            for w, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
-                known[w] = array("i", ids).tobytes()
-            found += [b"".join([known[w] for w in words]) for words in split]
+        known = self._words
+        split = [_WORD.findall(normalised(t)) for t in texts]
+        if len(known) > KEPT_WORDS:
+            known.clear()
+        new = list({w for words in split for w in words if w not in known})
+        for w, ids in zip(new, self.inner.encode(new, num_threads=1), strict=True):
+            known[w] = array("i", ids).tobytes()
+        found = [b"".join([known[w] for w in words]) for words in split]
         offsets = np.cumsum([0, *(len(x) // 4 for x in found)])
         return offsets, np.frombuffer(b"".join(found), dtype=np.int32)
 
@@ -308,9 +308,14 @@ def _encode_giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
         names = ("key", "chunk", "last", "text", "lo", "hi", *extra)
         yield from zip(*(b.column(n).to_pylist() for n in names), strict=True)
 
+    def few(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, CHUNKS_AT_ONCE):
+                yield b.slice(i, CHUNKS_AT_ONCE)
+
     def matrices(batches):
         v = vocabulary(model)
-        for b in batches:
+        for b in few(batches):
             rows = []
             for key, k, last, text, lo, hi in each(b):
                 m = Chunk(v, text, lo, hi, k == 0, last).matrix()
@@ -331,7 +336,7 @@ def _encode_giants(giants: DataFrame, model: str, chunk: int) -> DataFrame:
 
     def trace(batches):
         v = vocabulary(model)
-        for b in batches:
+        for b in few(batches):
             rows = [{"key": key, "chunk": k, "ids": Chunk(v, text, lo, hi, k == 0, last).pieces((a, bb), (c, d))} for key, k, last, text, lo, hi, a, bb, c, d in each(b, ("a", "b", "c", "d"))]
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("ids", pa.list_(pa.int32()))]))
 
@@ -355,16 +360,19 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
 
     @F.arrow_udf("struct<ids:array<int>, same:boolean>")
     def direct(column: pa.Array) -> pa.Array:
-        v, texts = vocabulary(model), [x or "" for x in column.to_pylist()]
-        at, ids = v.encode_texts(texts)
-        if check_col:  # here, so that one worker per task does both ways
-            back = v.whole.decode([ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)])
-            same = pa.array([x == y.replace(SPACE, " ") for x, y in zip(back, texts, strict=True)], pa.bool_())
-        else:
-            same = pa.nulls(len(texts), pa.bool_())
-        lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
+        v, ids, counts, same = vocabulary(model), [np.zeros(0, np.int32)], [], []
+        for i, j in tb.groups(tb.buffers(column)[0]):  # Python strings and lists of a small part at a time
+            texts = [x or "" for x in column.slice(i, j - i).to_pylist()]
+            at, part = v.encode_texts(texts)
+            ids.append(part)
+            counts.append(np.diff(at))
+            if check_col:  # here, so that one worker per task does both ways
+                back = v.whole.decode([part[m:n].tolist() for m, n in zip(at[:-1], at[1:], strict=True)])
+                same += [x == y.replace(SPACE, " ") for x, y in zip(back, texts, strict=True)]
+        offsets = np.cumsum(np.concatenate([[0], *counts]))
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
         tb.release()
-        return pa.StructArray.from_arrays([lists, same], ["ids", "same"])
+        return pa.StructArray.from_arrays([lists, pa.array(same, pa.bool_()) if check_col else pa.nulls(len(column), pa.bool_())], ["ids", "same"])
 
     small_batches(docs.sparkSession)
     long = F.coalesce(F.length(text_col), F.lit(0)) > giant
@@ -398,7 +406,10 @@ def decode(docs: DataFrame, ids_col: str = "ids", text_col: str = "decoded", mod
             column = column.combine_chunks()
         at, ids = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
         there = column.is_valid().to_pylist()
-        found = iter(vocabulary(model).whole.decode([ids[i:j].tolist() for i, j, ok in zip(at[:-1], at[1:], there, strict=True) if ok]))
-        return pa.array([next(found) if ok else None for ok in there], pa.string())
+        whole = vocabulary(model).whole
+        # one text's ids as a Python list at a time
+        found = [whole.decode(ids[i:j].tolist()) if ok else None for i, j, ok in zip(at[:-1], at[1:], there, strict=True)]
+        tb.release()
+        return pa.array(found, pa.string())
 
     return docs.withColumn(text_col, text(F.col(ids_col)))

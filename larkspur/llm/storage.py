@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: log2 of the bits in a membership filter. 2**23 bits are 1 MB, the bound of what is broadcast.
 FILTER_LOG2_BITS = 23
-TEXT_ROWS = 400
+TEXT_ROWS, TEXT_BYTES = 400, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,13 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python in batches of at most TEXT_ROWS rows, unless the session says otherwise.
+    """Hand whole texts to Python in batches of at most TEXT_ROWS rows and about TEXT_BYTES bytes,
+    unless the session says otherwise.
 
-    The default of 10,000 rows is tens of MB of text at once, held by the JVM and each worker.
+    The defaults of 10,000 rows and 64 MB are held at once by the JVM (off its heap) and by each
+    worker. A row beyond TEXT_BYTES is a batch of its own.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name, "10000") == "10000":
-        spark.conf.set(name, str(TEXT_ROWS))
+    arrow = "spark.sql.execution.arrow."
+    for name, default, ours in (("maxRecordsPerBatch", "10000", TEXT_ROWS), ("maxBytesPerBatch", "67108864b", TEXT_BYTES)):
+        if spark.conf.get(arrow + name, default) == default:
+            spark.conf.set(arrow + name, str(ours))
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -24,7 +24,7 @@ def release() -> None:
     """Give memory that a reused worker has freed back to the system, now and then."""
     global _calls
     _calls += 1
-    if _calls % 8 == 0:
+    if _calls % 4 == 0:
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
         if trim is not None:
