@@ -5,12 +5,15 @@ get 0 there. Then |q - x|^2 = |q|^2 + M - 2 q.x, so the nearest neighbours in th
 the largest inner products. Every partition holds one tree over a bounded page of vectors:
 metric nodes with a routing object, a covering radius and each child's distance to its parent.
 Search pops the node with the least lower bound; |d(q,p) - d(x,p)|, from stored parent
-distances, discards children before any distance to them is computed. Scores are int64, exact.
+distances, discards children before any distance to them is computed. Scores are exact: int64
+where a tree's sums cannot overflow; wider vectors are kept beside the tree and scanned, in
+Python's integers where int64 does not hold the sums.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +24,8 @@ from pyspark.sql.window import Window
 
 #: Vectors of one tree, objects of a leaf page, children of an inner page.
 TREE_VECTORS, PAGE, FANOUT = 8192, 512, 16
-#: Components beyond this size, after scaling, take no part: sums of their products could overflow.
-MAX_COMPONENT = 1 << 20
+#: Sums of products below this size are taken in int64.
+INT64_SUMS = 1 << 62
 _SLACK = 1e-6  # relative, for the float distances that only prune
 
 
@@ -114,52 +117,89 @@ class MTree:
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = 256) -> DataFrame:
-    """Rows (vec_id, vec array<long>) with floor(scale * x); vectors that take no part are left out.
+    """Rows (vec_id, vec array<double>) with floor(scale * x), whole numbers of any size; vectors
+    that take no part are left out.
 
-    Left out: null vectors and ids, null, NaN or infinite components, and components beyond
-    MAX_COMPONENT after scaling. Empty vectors stay (their inner products are 0).
+    Left out: null vectors and ids, null, NaN or infinite components. Empty vectors stay (their
+    inner products are 0). A finite component that is no finite double after scaling is an error.
     """
-    scaled = F.transform(F.col(vector_col), lambda v: v.cast("double") * F.lit(float(scale)))
-    bad = F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) >= float(MAX_COMPONENT)))
-    return df.select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True))).select(
-        "vec_id", F.transform("v", lambda v: F.floor(v).cast("long")).alias("vec")
-    )
+    inf = float("inf")
+    raw = F.transform(F.col(vector_col), lambda v: v.cast("double"))
+    bad = F.exists("v", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == inf))
 
+    def whole(v):
+        x = v * F.lit(float(scale))
+        kept = F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x)  # beyond 2**52 all doubles are whole
+        return F.when(F.abs(x) == inf, F.raise_error(F.lit("a component is beyond the doubles after scaling")).cast("double")).otherwise(kept)
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    lists = column.to_pylist()
-    out = np.zeros((len(lists), width), dtype=np.int64)
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
-    return out
+    return df.select(F.col(id_col).cast("long").alias("vec_id"), raw.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.coalesce(bad, F.lit(True))).select("vec_id", F.transform("v", whole).alias("vec"))
+
+
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max()), -int(x.min())) if x.size else 0
+
+
+def _rows(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(wide, narrow, others): a mask of the vectors whose squared norm may not fit in int64, the
+    matrix of all others (int64) and that of the wide ones (Python's integers)."""
+    lists, limit = column.to_pylist(), math.isqrt(INT64_SUMS // width)
+    wide = np.array([bool(v) and max(max(v), -min(v)) >= limit for v in lists], dtype=bool)
+    narrow, others = np.zeros((int((~wide).sum()), width), dtype=np.int64), np.zeros((int(wide.sum()), width), dtype=object)
+    for out, at in ((narrow, np.flatnonzero(~wide)), (others, np.flatnonzero(wide))):
+        for i, j in enumerate(at):
+            out[i, : len(lists[j])] = [int(c) for c in lists[j]]
+    return wide, narrow, others
+
+
+def _scan(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int, skip: int | None) -> list[tuple[int, int]]:
+    """As :meth:`MTree.search`, by exact scores of all rows, whatever their size."""
+    a, b = sorted((_largest(x), _largest(q)))
+    kind = np.int64 if max(a, 1) * b * len(q) < INT64_SUMS else object
+    scores = (x.astype(kind, copy=False) @ q.astype(kind, copy=False)).tolist()
+    return [(-s, i) for s, i in heapq.nsmallest(k, ((-s, i) for s, i in zip(scores, ids.tolist(), strict=True) if i != skip))]
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query its k best candidates with another id.
 
-    Both inputs are rows (vec_id, vec array<long>) as :func:`quantised` gives them. Vectors of
+    Both inputs are rows (vec_id, vec) of whole numbers as :func:`quantised` gives them. Vectors of
     different lengths are compared as if the shorter ended in zeros. Repeated candidate rows each
     count; repeated query ids are searched once. The query set is stated (it meets all rows); trees
     hold bounded groups of vectors, dealt by a hash of the id, so none grows with a hot value.
+    Ranks are exact for components of any size; a result whose score is beyond 64 bits is an error.
     """
-    n = candidates.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("w")).first()
+    largest = F.max(F.greatest(F.array_max("vec").cast("double"), -F.array_min("vec").cast("double")))
+    n = candidates.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("w"), largest.alias("top")).first()
     asked = queries.dropDuplicates(["vec_id"])
-    longest = asked.agg(F.max(F.size("vec"))).first()[0]
-    schema = "query_id long, vec_id long, score long"
+    longest, top = asked.agg(F.max(F.size("vec")), largest).first()
     trees, width = max(1, -(-n["n"] // TREE_VECTORS)), max(n["w"] or 0, longest or 0, 1)
+    # a bound of all scores (doubles round longs: doubled)
+    bound = 4 * width * (int(n["top"] or 0) + 1) * (int(top or 0) + 1)
+    key_bytes = bound.bit_length() // 8 + 1 if bound >= INT64_SUMS else 0
+    schema = "query_id long, vec_id long, score long" + (", key binary" if key_bytes else "")
 
     tree_of = F.pmod(F.xxhash64("vec_id"), F.lit(trees)).cast("int")
     data = candidates.select(tree_of.alias("tree"), "vec_id", "vec")
     wanted = asked.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "vec_id", "vec")
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        tree = MTree(left.column("vec_id").to_numpy(), _matrix(left.column("vec"), width))
-        found = []
-        for i, q in zip(right.column("vec_id").to_pylist(), _matrix(right.column("vec"), width), strict=True):
-            found += [(i, v, s) for s, v in tree.search(q, k, skip=i)]
+        ids, asking = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
+        wide, x, wide_x = _rows(left.column("vec"), width)
+        wide_asking, q, wide_q = _rows(right.column("vec"), width)
+        tree, found = MTree(ids[~wide], x), []
+        for i, v in zip([*asking[~wide_asking].tolist(), *asking[wide_asking].tolist()], [*q, *wide_q], strict=True):
+            best = tree.search(v, k, skip=i) if v.dtype == np.int64 else _scan(ids[~wide], x, v, k, i)
+            if len(wide_x):
+                best = sorted([*best, *_scan(ids[wide], wide_x, v, k, i)], key=lambda b: (-b[0], b[1]))[:k]
+            found += [(i, j, s) for s, j in best]
         cols = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+        if not key_bytes:
+            return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+        fitting = [s if -(1 << 63) <= s < 1 << 63 else None for s in cols[2]]
+        keys = [(s + bound).to_bytes(key_bytes, "big") for s in cols[2]]  # in the order of the scores
+        return pa.table([*(pa.array(c, pa.int64()) for c in (cols[0], cols[1], fitting)), pa.array(keys, pa.binary())], names=["query_id", "vec_id", "score", "key"])
 
     paired = data.groupBy("tree").cogroup(wanted.groupBy("tree")).applyInArrow(search, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return paired.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    order = Window.partitionBy("query_id").orderBy(F.desc("key" if key_bytes else "score"), "vec_id")
+    score = F.coalesce("score", F.raise_error(F.lit("a score of the top k is beyond 64 bits")).cast("long")) if key_bytes else F.col("score")
+    return paired.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", score.alias("score"))

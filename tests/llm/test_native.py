@@ -181,3 +181,27 @@ def test_top_k(spark, monkeypatch):
     assert mtree.top_k(v.limit(0), v.limit(0), 5).count() == 0
     two = v.where("vec_id in (0, 50, 51)")
     assert mtree.top_k(two, two.where("vec_id = 0"), 5).count() == 2
+
+
+def test_top_k_of_large_components(spark, monkeypatch):
+    """Only null, NaN and infinite components keep a vector out; large ones are scored exactly."""
+    monkeypatch.setattr(mtree, "TREE_VECTORS", 20)
+    rng = np.random.default_rng(6)
+    data = {i: [float(v) for v in rng.normal(size=4)] for i in range(100)}
+    data |= {50: [5000.0, 0.1, 0.0, 0.0], 101: [-4096.0, 1.0, 1.0, 1.0], 102: [1e7 + 1, -0.5, 2.0, 3.0], 103: [1e7 + 1, -0.5, 2.0, 3.0], 104: [0.0, 3e12, 0.0, 0.0], 105: [0.0, 3e12, 0.003, 0.0], 106: [-1e30, 0.0, 0.0, 0.0], 150: [0.0, 0.0, 1e5, 0.0]}
+    df = spark.createDataFrame(list(data.items()), "vec_id long, embedding array<double>")
+    v = mtree.quantised(df, "vec_id", "embedding")
+    vec = {i: [int(np.floor(256 * x)) for x in e] for i, e in data.items()}
+    assert {r.vec_id for r in v.collect()} == set(data)
+
+    def best(q, candidates, k=5):
+        found = sorted((-sum(a * b for a, b in zip(vec[q], vec[c])), c) for c in candidates if c != q)[:k]
+        return [(q, n + 1, c, -s) for n, (s, c) in enumerate(found)]
+
+    near, asked = [i for i in vec if i != 106], (0, 50, 101, 150)  # the score of 101 and 106 needs more than 64 bits
+    got = rows(mtree.top_k(v.where("vec_id <> 106"), v.where(F.col("vec_id").isin(*asked)), 5))
+    assert got == sorted((x for q in asked for x in best(q, near)), key=str)
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        mtree.top_k(v, v.where("vec_id = 101"), 5).collect()
+    # one that is not among the best does no harm
+    assert rows(mtree.top_k(v.where("vec_id in (1, 2, 106)"), v.where("vec_id = 50"), 2)) == best(50, (1, 2))
