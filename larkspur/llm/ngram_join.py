@@ -306,7 +306,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             large = None
         held_t, held_i = tokens[start:], ids[start:]
         if len(held_t) > BLOCK_DOCS:  # a large run streams through
-            first = large[1] if large is not None else held_i[0]
+            first = large[1] if large is not None and held_t[0] == large[0] else held_i[0]
             yield from rows(held_t, held_i, False)
             large = (held_t[0], first)
             held_t, held_i = held_t[:0], held_i[:0]

@@ -95,6 +95,20 @@ def test_large_blocks(spark):
     assert {x.component_id for x in got if x.doc_id < 10_000} == {0} and {x.component_id for x in got if x.doc_id >= 10_000} == {10_000, 10_001}
 
 
+def test_adjacent_large_runs():
+    """Each of two neighbouring large runs is one block of its own, wherever batches end."""
+    n = ngram_join.BLOCK_DOCS
+    a, b = n + 88, 2 * n + 276
+    tokens, ids = np.array([5] * a + [9] * b), np.arange(a + b)
+    for first in (1, n - 1, n, n + 1, a - 1, a, a + 1, a + n, a + n + 1):
+        for size in (1, n // 2, n, n + 1, b):
+            cuts = [0, first, *range(first + size, a + b, size), a + b]
+            batches = [pa.RecordBatch.from_arrays([pa.array(tokens[i:j]), pa.array(ids[i:j])], names=["token", "id"]) for i, j in zip(cuts, cuts[1:])]
+            out = [x for batch in ngram_join._blocks(iter(batches)) for x in batch.to_pylist()]
+            assert [x["id"] for x in out] == ids.tolist() and all(x["large"] for x in out)
+            assert {x["block"] for x in out if x["id"] < a} == {0} and {x["block"] for x in out if x["id"] >= a} == {a}, (first, size)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=60))
 def test_signature_bound(a, b):
