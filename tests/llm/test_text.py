@@ -285,6 +285,30 @@ def test_mixing(spark):
     assert mixing.mix(docs_of(spark, []), targets).count() == 0
 
 
+@pytest.mark.parametrize("here", [True, False])
+def test_mixing_of_many_values(spark, monkeypatch, here):
+    """Every value is weighed by itself, however many there are, on the driver or not."""
+    if not here:
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", 10)
+        monkeypatch.setattr(mixing, "TOLERANCE", 1e-7)
+    docs = spark.createDataFrame([(i, "word " * (1 + i // 60), f"l{i % 60}" if i < 590 else "rare", "s") for i in range(600)] + [(900, "", "none", "s")], "doc_id long, text string, lang string, source string")
+    got = mixing.mix(docs, mixing.MixTargets(keep_share=0.3)).collect()
+    seen = {}
+    for x in got:
+        seen.setdefault(x.lang, [0, x["__weight"], x["__probability"]])[0] += x["__tokens"]
+    assert len(got) == 601 and len(seen) == 62 and seen.pop("none")[1:] == [1.0, 0.3]
+    total, tempered = sum(v[0] for v in seen.values()), sum(v[0] ** 0.7 for v in seen.values())
+    for n, weight, p in seen.values():
+        assert weight == pytest.approx(total * n**0.7 / tempered / n, rel=1e-5) and p == pytest.approx(0.3 * weight, rel=1e-5)
+    aimed = mixing.mix(docs, mixing.MixTargets(weights={"lang": {"rare": 1, "l0": 3}}, keep_share=0.01)).collect()
+    share = {v: sum(x["__tokens"] * x["__weight"] for x in aimed if x.lang == v) for v in ("rare", "l0", "l1")}
+    assert share["l1"] == 0 and share["l0"] == pytest.approx(3 * share["rare"]) and all(x["__probability"] > 0 for x in aimed if x.lang == "rare")
+    one = mixing.mix(docs, mixing.MixTargets(weights={"lang": {"rare": 1, "l0": 3}}, keep_share=0.05)).collect()
+    assert sum(x["__tokens"] * x["__probability"] for x in one) == pytest.approx(min(0.05 * total, seen["rare"][0] + seen["l0"][0])) and max(x["__probability"] for x in one) == 1
+    with pytest.raises(ValueError, match="nowhere"):
+        mixing.mix(docs, mixing.MixTargets(weights={"lang": {"nowhere": 1, "l0": 1}}))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text(alphabet="a1# \n\té漢", max_size=40), max_size=10))
 def test_make_up(texts):
