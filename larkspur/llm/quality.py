@@ -19,9 +19,9 @@ from larkspur.llm import textbytes as tb
 from larkspur.llm.storage import small_batches
 
 SLOTS = 1 << 18
-#: Bound of the training sample: documents, and characters per training document (longer ones
-#: are not sampled; scores read whole texts).
-SAMPLE_DOCS, SAMPLE_CHARS = 4000, 12_000
+#: The training sample: ids drawn from the labels (about so many; those without a document drop
+#: out), texts of any length. The driver gets their features, not texts: at most SLOTS a document.
+SAMPLE_DOCS = 9600
 #: FTRL-proximal: learning rate, its smoothing, L1, L2; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 1e-4, 1e-4, 4
 GAIN = 16.0  # frequencies are multiplied by this
@@ -93,18 +93,23 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 6) -> QualityModel:
-    """FTRL-proximal over (text, label 0 or 1) rows, in a fixed shuffled order."""
+def counted(column: pa.Array):
+    """Yield (slots, counts) of every row, as bytes of int32."""
+    for slots in each_features(column):
+        at, count = np.unique(slots, return_counts=True)
+        yield at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()
+
+
+def fit_counted(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityModel:
+    """FTRL-proximal over (slots, counts, label 0 or 1) rows, in a fixed shuffled order."""
     rows = sorted(rows)
     z, n, w = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
-    examples = []
-    for (_, label), slots in zip(rows, each_features(pa.array([t for t, _ in rows], pa.string())), strict=True):
-        at, count = np.unique(slots, return_counts=True)
-        examples.append((np.append(at, SLOTS).astype(np.int32), np.append(GAIN * count / max(1, len(slots)), 1.0).astype(np.float32), label))
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
-        for k in rng.permutation(len(examples)):
-            at, x, label = examples[k]
+        for k in rng.permutation(len(rows)):
+            slots, counts, label = rows[k]
+            at, count = np.append(np.frombuffer(slots, np.int32), np.int32(SLOTS)), np.frombuffer(counts, np.int32)
+            x = np.append(GAIN * count / max(1, int(count.sum())), 1.0).astype(np.float32)
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
             p = 1 / (1 + np.exp(-np.clip(wi @ x, -35, 35)))
@@ -115,14 +120,23 @@ def fit(rows: list[tuple[str, int]], seed: int = 6) -> QualityModel:
     return QualityModel(np.rint(w[:SLOTS] * UNIT).astype(np.int64), float(w[SLOTS]))
 
 
-def training_sample(train: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """About SAMPLE_DOCS labelled rows at most, chosen by a hash of the id; labels are 0 or 1."""
-    rows = train.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.where(F.col("label").isin(0, 1))
-    draw = F.pmod(F.xxhash64("id", F.lit(6)), F.lit(1 << 30))
-    n = rows.select("id").count()
-    part = rows.where((draw < F.lit(int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, n))))) & (F.length("text") <= SAMPLE_CHARS))
-    return [(r["text"], r["label"]) for r in part.select("text", "label").collect()]
+def fit(rows: list[tuple[str, int]], seed: int = 6) -> QualityModel:
+    """:func:`fit_counted` over (text, label) rows."""
+    return fit_counted([(*c, label) for c, (_, label) in zip(counted(pa.array([t for t, _ in rows], pa.string())), rows, strict=True)], seed)
+
+
+def training_sample(train: DataFrame, text_col: str, label_col: str) -> list[tuple[bytes, bytes, int]]:
+    """(slots, counts, label) of all rows labelled 0 or 1, counted where the texts are."""
+    small_batches(train.sparkSession)
+    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+
+    def count(batches):
+        for b in batches:
+            found = list(zip(*counted(b.column(0)), strict=True)) or [(), ()]
+            tb.release()
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in found), b.column(1)], names=["slots", "counts", "label"])
+
+    return [(bytes(r["slots"]), bytes(r["counts"]), r["label"]) for r in rows.mapInArrow(count, "slots binary, counts binary, label int").collect()]
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
@@ -147,11 +161,11 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Data
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
     """Fit on labelled documents; a document with several labels counts once with the largest.
 
-    The sample's ids are picked from the labels first, so that texts are read for them alone.
+    The sample's ids are picked from the labels, once, so that texts are read for them alone.
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
     total = known.count()
     draw = F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1 << 30))
-    known = known.where(draw < F.lit(int((1 << 30) * min(1.0, 1.6 * SAMPLE_DOCS / max(1, total)))))
-    picked = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(known), F.col(id_col) == F.col("__id"))  # under 2 * SAMPLE_DOCS rows
-    return fit(training_sample(picked.withColumnRenamed("__label", "__y"), id_col, text_col, "__y"))
+    known = known.where(draw < F.lit(int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total)))))
+    picked = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col(id_col) == F.col("__id"))  # about SAMPLE_DOCS labels
+    return fit_counted(training_sample(picked, "__text", "__label"))

@@ -257,6 +257,19 @@ def test_quality_edges(spark):
     assert {x.score for x in quality.scored(docs, none).collect()} == {0.5}
 
 
+def test_quality_learns_from_long_texts(spark):
+    """Texts of any length are in the sample, and what they alone show is learned."""
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(300)]
+    texts = [(i, " ".join(r.choice(words) for _ in range(60))) for i in range(40)]
+    texts += [(i, " ".join(r.choice(["spam", "offer", "click"]) for _ in range(6000))) for i in range(40, 60)]
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(60)], "doc_id long, quality int")
+    model = quality.train_on(docs_of(spark, texts), labels)
+    assert (model.weights == quality.fit([(t, int(i < 40)) for i, t in texts]).weights).all()
+    scores = model.scores(pa.array(["offer click spam click offer", " ".join(words[:60])]))
+    assert scores[0] < quality.THRESHOLD < scores[1]
+
+
 def test_raking():
     rng = np.random.default_rng(3)
     observed = rng.integers(1, 1000, (5, 4, 3)).astype(float)
