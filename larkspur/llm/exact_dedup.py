@@ -1,10 +1,11 @@
 """Exact deduplication by a log-structured merge index of digests. DataFrame operations only.
 
 Each ingest is a memtable per task: it is flushed as a run of (digest, probe, id) rows sorted
-by digest, with a Parquet bloom filter on the digest. Compaction merges all runs into one
-sorted level in which a digest keeps a single surviving identifier and a count. Documents
-whose digest occurs more than once are hits; their bytes are compared (grouping by the text
-itself) before they count as equal, so a digest collision cannot drop a document.
+by digest, with a Parquet bloom filter on the digest (nothing here probes it). Compaction is one
+hash aggregation over all runs, in place of a merge: its level, not sorted, has a single surviving
+identifier and a count for each digest. Documents whose digest occurs more than once are hits,
+picked by one bit filter; their bytes are compared (grouping by the text itself) before they
+count as equal, so a digest collision cannot drop a document.
 """
 
 from __future__ import annotations
