@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm.storage import bit_filter, maybe_in, without_keys, written
+from larkspur.llm.storage import BitFilter, without_keys, written
 
 
 class DigestIndex:
@@ -51,9 +51,9 @@ class DigestIndex:
         merged = written(self._all().groupBy("digest", "probe").agg(self.pick("id").alias("keep_id"), F.count("*").alias("group_size")), "lsm-level")
         repeated = merged.where(F.col("group_size") > 1)
         hits = None
-        bits = written(bit_filter(repeated, "digest"), "lsm-filter")
+        bits = BitFilter.of(repeated, "digest", "lsm-filter")
         for keyed in self.sources:
-            part = maybe_in(keyed, F.col("digest"), bits)
+            part = bits.maybe(keyed, F.col("digest"))
             hits = part if hits is None else hits.unionByName(part)
         # Equal bytes meet in one group; map-side combination leaves one row per task of a hot text.
         same = hits.groupBy("digest", "probe", "text").agg(F.count("*").alias("n"))

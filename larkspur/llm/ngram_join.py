@@ -1,22 +1,32 @@
 """Exact n-gram Jaccard join by signature trees; classes of linked documents.
 
-A document is its set of word shingles. Equal sets collapse to one representative. Exact prefix
-filtering routes representatives to blocks: in one global order (rare shingles first, by a count
-table of fixed size over all documents), two sets with the wanted similarity share a shingle
-among their first n - ceil(t n) + 1. In a block a signature tree holds, per node, the OR and AND
-of its documents' token bitmaps and their range of sizes; a dual traversal discards node pairs
-whose largest possible overlap is too small, and pairs that are already one class.
-
-Blocks use small parity bitmaps alone and give a superset of the links, as coarse classes. Each
-coarse class then meets its full sets: the same traversal, with every surviving pair verified.
-A hot coarse class is dealt to chunks by a hash; what is not yet in the class's main component
-after a first pass meets every chunk, in bounded blocks. So no link is lost, no group is
-gathered in one task, and no pairs are listed within a class: links of a spanning forest are.
+A document is its set of word shingles; equal sets collapse to one representative. Routing is
+exact and needs no frequencies: the hash space of shingles is cut into ranges, so that a set
+falls into parts. Two sets that differ in at most d shingles have equal contents in all but d
+ranges. Sizes are dealt to spaces that double, each with its own number of ranges m; a set emits
+the hashes of its d + 1 fullest parts (d: the most that a linked set of this space can differ),
+and the parts that it skips are the m - d - 1 lowest in one order of contents. At least m - d
+ranges of a linked pair are equal and the longer list of skipped ones is shorter than that, so
+linked sets emit a hash in common. A hash covers several shingles at once, so that neither common
+shingles nor chance bring strangers together, whatever the size of the corpus.
+
+Sets with a hash in common form stars, their components are coarse classes, a superset of the
+links. In a class a signature tree holds, per node, the OR and AND of its sets' parity bitmaps and
+their range of sizes; a dual traversal discards node pairs whose largest possible overlap is too
+small, and pairs that are already linked; surviving pairs are verified on the whole sets.
+
+A class too large for one task is routed again, within itself, by other ranges. What is still too
+large is dealt to cells by size band and a hash; what is outside the class's main component after
+the trees of the cells meets the cells of its band and the next ones, in blocks of bounded size. So
+no link is lost, no group is gathered in one task, and no pairs are listed within a class: links
+of a spanning forest are.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +35,14 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import textbytes as tb
 from larkspur.llm.graph import connected_components
-from larkspur.llm.storage import bit_filter, maybe_in, small_batches, written
-
-#: Slots of the count table that orders shingles (2**18 * 8 bytes, whatever the data).
-COUNT_BITS = 18
-#: Representatives that share a routing shingle: up to here a block is searched by its tree;
-#: a larger block joins one coarse class unsearched (a superset; exact verification follows).
-BLOCK_DOCS = 512
-#: Shingles that one verification task holds; a coarse class beyond it is dealt to chunks.
-CHUNK_SHINGLES = 200_000
+from larkspur.llm.storage import BitFilter, small_batches, without_keys, written
+
+#: Shingles that one verification task holds; a coarse class beyond it is routed again, then dealt.
+CHUNK_SHINGLES = 50_000
+#: Seeds of the further routings of classes that are too large.
+AGAIN = (1, 2)
+#: Rows of ids and hashes in a batch (16 bytes each).
+NARROW = 20_000
 _LEAF, _FANOUT = 16, 8
 _U = np.uint64
 
@@ -41,13 +50,13 @@ _U = np.uint64
 # ---- sets and signatures ---------------------------------------------------------------------
 
 
-def _difference(n: int, percent: int) -> int:
-    """The largest symmetric difference of two linked sets of about n shingles."""
-    return 2 * n * (100 - percent) // (100 + percent) + 1
+def difference(total: int, percent: int) -> int:
+    """The largest symmetric difference of two linked sets that hold ``total`` shingles together."""
+    return total * (100 - percent) // (100 + percent)
 
 
 def signature_bits(n: int, percent: int) -> int:
-    d = _difference(n, percent)
+    d = difference(2 * n, percent)
     return 512 if d <= 140 else 4096 if d <= 1100 else 32768
 
 
@@ -57,11 +66,6 @@ def signature(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def folded(words: np.ndarray, n_words: int) -> np.ndarray:
-    """A parity bitmap brought to fewer bits."""
-    return words if len(words) == n_words else np.bitwise_xor.reduce(words.reshape(-1, n_words), axis=0)
-
-
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) < len(b):
         a, b = b, a
@@ -145,23 +149,6 @@ class SignatureTree:
                 out.append((p, q))
 
 
-def join_signatures(ids: np.ndarray, sizes: np.ndarray, maps: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Id pairs of a spanning forest of what the bitmaps alone cannot exclude; sizes ascend.
-
-    Each width of bitmap has a tree of its own, over the documents of that width and the few
-    wider ones that are small enough to be linked with them (folded to it).
-    """
-    widths, out = np.array(list(map(len, maps))), []
-    labels = np.arange(len(ids))
-    for width in np.unique(widths):
-        limit = int(sizes[widths == width].max()) * 100
-        at = np.flatnonzero((widths == width) | ((widths > width) & (sizes * percent <= limit)))
-        if len(at) > 1:
-            tree = SignatureTree(sizes[at], np.stack([folded(maps[k], width) for k in at]))
-            out += [(ids[at[p]], ids[at[q]]) for p, q in tree.join(percent, labels[at], None)]
-    return out
-
-
 def join_sets(ids: list[int], labels: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Id pairs of verified links that join different labels: a spanning forest of them."""
     order = sorted((k for k in range(len(ids)) if len(sets[k])), key=lambda k: (len(sets[k]), ids[k]))
@@ -212,133 +199,159 @@ def _bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1, [table.num_rows]])
 
 
-def _count_table(texts: DataFrame, words: int) -> np.ndarray:
-    """Occurrences of shingles by slot over all documents: 2**COUNT_BITS numbers."""
-    parts, each = 64, (1 << COUNT_BITS) // 64
+# ---- routing -----------------------------------------------------------------------------------
 
-    def count(batches):
-        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-        for b in batches:
-            for h in tb.each_words(b.column(0)):
-                s = tb.shingles(h, words)
-                total[(s >> _U(64 - COUNT_BITS)).astype(np.int64)] += 1  # a slot counts once per document
-            tb.release()
-        yield _batch(["part", "counts"], [list(range(parts)), [total[k * each : (k + 1) * each].tobytes() for k in range(parts)]], [pa.int32(), pa.binary()])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in table.column("counts"))
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+def first_bound(percent: int) -> int:
+    """Sets up to this size are linked with no set of this size at most but equal ones (or 1)."""
+    return max(1, (99 + percent) // (2 * (100 - percent)))
 
-    got = texts.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect()
-    out = np.zeros(1 << COUNT_BITS, dtype=np.int64)
-    for r in got:
-        out[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(r["counts"], dtype=np.int64)
+
+def spaces(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(space, number of ranges, hashes to emit) of a set of n shingles: the space of its size, and
+    those of larger sets that it may be linked with. Sizes of a space reach ``first_bound << space``."""
+    base = first_bound(percent)
+    largest, out = 100 * n // percent, []
+    space = ((n + base - 1) // base - 1).bit_length()
+    while not out or base << (space - 1) < largest:
+        top = base << space
+        d = difference(2 * top, percent)
+        slack = max(2, (d + 1) // 4)
+        out.append((space, d + 1 + slack, difference(n + min(largest, top), percent) + 1 if d else 0))
+        space += 1
     return out
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    """0 for slots up to twice the mean, then one level per doubling."""
-    mean = max(1.0, counts.mean())
-    return np.where(counts <= 2 * mean, 0, np.floor(np.log2(np.maximum(counts, 1) / mean))).astype(np.uint64)
+def route(s: np.ndarray, percent: int, seed: int = 0) -> np.ndarray:
+    """The routing hashes of a set (sorted distinct shingle hashes). None for an empty set, for
+    percent 100 and where only equal sets can be linked: those have one representative."""
+    if not len(s) or percent >= 100:
+        return np.zeros(0, np.int64)
+    if seed:
+        s = np.sort(tb.mix(s + _U(seed)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(tb.mix(s + _U(1)))])
+    out = []
+    for space, m, emit in spaces(len(s), percent):
+        if not emit:
+            continue
+        cuts = np.concatenate([[0], np.searchsorted(s, _range_starts(m)), [len(s)]])
+        held = np.minimum(np.diff(cuts), 0xFFFF).astype(np.uint64)
+        names = tb.mix((total[cuts[1:]] - total[cuts[:-1]]) ^ tb.mix(np.arange(m, dtype=np.uint64) + _U(space << 40)))
+        if emit < m:
+            names = names[np.argpartition((held << _U(48)) | (names >> _U(16)), m - emit)[m - emit :]]
+        out.append(names.view(np.int64))
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+@lru_cache(maxsize=256)
+def _range_starts(m: int) -> np.ndarray:
+    """Where the ranges after the first begin, of m equal ones."""
+    return np.array([(k << 64) // m for k in range(1, m)], dtype=np.uint64)
+
+
+def _listed(columns: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(columns) if columns else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, columns)]), pa.int32()), pa.array(flat, pa.int64()))
 
 
 def profiles(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Rows (id, n, set_key, prefix, map) of documents (id, text): the set's size, a 128-bit key
-    of the set, the routing shingles and the parity bitmap. Empty sets have a null key."""
-    levels = docs.sparkSession.sparkContext.broadcast(_levels(_count_table(docs.select("text"), words)))
-    names, kinds = ["id", "n", "set_key", "prefix", "map"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+    """Rows (id, n, set_key, hashes) of documents (id, text): the set's size, a 128-bit key of the
+    set and its routing hashes. Empty sets have a null key."""
+    names = ["id", "n", "set_key", "hashes"]
 
     def profile(batches):
         for b in batches:
-            n, key, prefix, maps = [], [], [], []
+            n, key, hashes = [], [], []
             for h in tb.each_words(b.column(1)):
                 s = tb.shingles(h, words)
-                n.append(len(s))
-                if not len(s):
-                    key.append(None), prefix.append(np.zeros(0, np.int64)), maps.append(b"")
-                    continue
                 m = tb.mix(s)
-                key.append(m.sum().tobytes() + np.bitwise_xor.reduce(m * _U(0x9E3779B97F4A7C15) ^ (m >> _U(32))).tobytes())
-                keep = len(s) - -(-percent * len(s) // 100) + 1
-                ranked = (levels.value[(s >> _U(64 - COUNT_BITS)).astype(np.int64)] << _U(56)) | (tb.mix(s + _U(1)) >> _U(8))
-                prefix.append(np.partition(ranked, keep - 1)[:keep].view(np.int64))
-                maps.append(signature(s, signature_bits(len(s), percent)).tobytes())
-            flat = np.concatenate(prefix) if prefix else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(flat, pa.int64()))
+                n.append(len(s))
+                key.append(m.sum().tobytes() + np.bitwise_xor.reduce(m * _U(0x9E3779B97F4A7C15) ^ (m >> _U(32))).tobytes() if len(s) else None)
+                hashes.append(route(s, percent))
             tb.release()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, kinds[1]), pa.array(key, kinds[2]), lists, pa.array(maps, kinds[4])], names=names)
-
-    return docs.select("id", "text").mapInArrow(profile, "id long, n long, set_key binary, prefix array<long>, map binary")
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (token, id) sorted by token: (block, id, false) of small blocks, and (first id,
-    id, true) of large ones. Blocks of the same documents get the same name."""
-    kinds = [pa.int64(), pa.int64(), pa.bool_()]
-    held_t, held_i = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    large = None  # (token, first id) of an open large run
-
-    def rows(tokens, ids, final):
-        nonlocal large
-        cuts = np.concatenate([[0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1])
-        sizes = np.diff(np.append(cuts, len(tokens)))
-        big = sizes > BLOCK_DOCS
-        if large is not None and tokens[0] == large[0]:
-            big[0] = True
-        ok = (sizes > 1) & ~big
-        mixed = tb.mix(ids.view(np.uint64))
-        names = tb.mix(np.add.reduceat(mixed, cuts)).view(np.int64)
-        member = np.repeat(ok, sizes)
-        yield _batch(["block", "id", "large"], [np.repeat(names, sizes)[member], ids[member], np.zeros(int(member.sum()), bool)], kinds)
-        for k in np.flatnonzero(big):
-            part = ids[cuts[k] : cuts[k] + sizes[k]]
-            first = large[1] if large is not None and tokens[cuts[k]] == large[0] else part[0]
-            yield _batch(["block", "id", "large"], [np.full(len(part), first), part, np.ones(len(part), bool)], kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), _listed(hashes)], names=names)
+
+    return docs.select("id", "text").mapInArrow(profile, "id long, n long, set_key binary, hashes array<long>")
 
+
+def _posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows (id, hashes): (hash, id, null), once per hash and batch; the other sets of the batch
+    with that hash are linked to the one named here: (any hash, id, that one). So a hash that many
+    sets share is mostly combined before it is shuffled."""
     for b in batches:
-        tokens = np.concatenate([held_t, b.column(0).to_numpy()])
-        ids = np.concatenate([held_i, b.column(1).to_numpy()])
-        if not len(tokens):
-            continue
-        start = int(np.searchsorted(tokens, tokens[-1]))
-        if start:
-            yield from rows(tokens[:start], ids[:start], True)
-            large = None
-        held_t, held_i = tokens[start:], ids[start:]
-        if len(held_t) > BLOCK_DOCS:  # a large run streams through
-            first = large[1] if large is not None and held_t[0] == large[0] else held_i[0]
-            yield from rows(held_t, held_i, False)
-            large = (held_t[0], first)
-            held_t, held_i = held_t[:0], held_i[:0]
-    if len(held_t):
-        yield from rows(held_t, held_i, True)
-
-
-def _coarse_edges(percent: int):
-    def run(batches):
-        for table in _runs(batches, ["block"]):
-            at = _bounds(table, ["block"])
-            ids, sizes = table.column("id").to_numpy(), table.column("n").to_numpy()
-            maps = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in table.column("map")]
-            out = []
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if hi - lo > 1:
-                    out += join_signatures(ids[lo:hi], sizes[lo:hi], maps[lo:hi], percent)
-            yield _edges(out)
+        lists = b.column(1)
+        at = lists.offsets.to_numpy()
+        hashes = lists.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]]
+        ids = np.repeat(b.column(0).to_numpy(), np.diff(at))
+        order = np.lexsort((ids, hashes))
+        hashes, ids = hashes[order], ids[order]
+        head = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
+        first = ids[head][np.cumsum(head) - 1]
+        linked_ = _pairs(first, ids)
+        names = np.concatenate([hashes[head], tb.mix(linked_[:, 1].view(np.uint64)).view(np.int64)])
+        firsts = pa.concat_arrays([pa.nulls(int(head.sum()), pa.int64()), pa.array(linked_[:, 0])])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.concatenate([ids[head], linked_[:, 1]])), firsts], names=["hash", "id", "first"])
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distinct pairs of different ids, as rows."""
+    some = a != b
+    return np.unique(np.stack([a[some], b[some]], 1), axis=0) if some.any() else np.zeros((0, 2), np.int64)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From :func:`_posts`' rows, sorted by hash: edges (u, v) from the first id of a hash to all others.
+    A run of one hash streams through, whatever its length."""
+    last = first = None
+    for b in batches:
+        plain = b.column(2).is_null().to_numpy(zero_copy_only=False)
+        hashes, ids = b.column(0).to_numpy()[plain], b.column(1).to_numpy()[plain]
+        made = b.filter(pa.array(~plain))
+        found = [_pairs(made.column(2).to_numpy(), made.column(1).to_numpy())]
+        if len(hashes):
+            head = np.concatenate([[hashes[0] != last], hashes[1:] != hashes[:-1]])
+            begin = np.maximum.accumulate(np.where(head, np.arange(len(ids)), -1))
+            firsts = np.where(begin >= 0, ids[begin], first if first is not None else 0)
+            found.append(_pairs(firsts, ids))
+            last, first = hashes[-1], firsts[-1]
+        out = np.concatenate(found)
+        yield _batch(["u", "v"], [out[:, 0], out[:, 1]], [pa.int64(), pa.int64()])
+
+
+def _star_edges(sets: DataFrame, label: str) -> DataFrame:
+    """Edges that connect all sets (id, hashes) with a hash in common."""
+    posts = sets.mapInArrow(_posts, "hash long, id long, first long")
+    return written(posts.repartition("hash").sortWithinPartitions("hash", "id").mapInArrow(_stars, "u long, v long"), label, rows=NARROW)
+
+
+def _again(big: DataFrame, docs: DataFrame, words: int, percent: int, seed: int) -> DataFrame:
+    """Rows (id, coarse, n) of classes that are too large, routed by other ranges within each class."""
+
+    def hashed(batches):
+        for b in batches:
+            found = []
+            for h, own in zip(tb.each_words(b.column(2)), b.column(1).to_pylist(), strict=True):
+                r = route(tb.shingles(h, words), percent, seed)
+                found.append(tb.mix(r.view(np.uint64) ^ tb.mix(np.array([own], np.int64).view(np.uint64))).view(np.int64))
+            tb.release()
+            yield pa.RecordBatch.from_arrays([b.column(0), _listed(found)], names=["id", "hashes"])
 
-    return run
+    texts = BitFilter.of(big, "id", "join-filter").maybe(docs, F.col("id")).join(big.select("id", "coarse"), "id").select("id", "coarse", "text")
+    parts = connected_components(_star_edges(written(texts.mapInArrow(hashed, "id long, hashes array<long>"), "join-again"), "join-stars"), "u", "v", contract=True)
+    return big.select("id", "n").join(parts, F.col("id") == F.col("node")).select("id", F.col("component").alias("coarse"), "n")
 
 
-def _exact_edges(words: int, percent: int):
+def _exact_edges(words: int, percent: int, keys: list[str]):
     def run(batches):
-        for table in _runs(batches, ["coarse", "chunk", "part"]):
-            at = _bounds(table, ["coarse", "chunk", "part"])
+        for table in _runs(batches, keys):
+            at = _bounds(table, keys)
             ids, labels = table.column("id").to_pylist(), table.column("label").to_pylist()
             for lo, hi in zip(at[:-1], at[1:], strict=True):
                 if hi - lo < 2:
                     continue
                 sets = [tb.shingles(h, words) for h in tb.each_words(table.column("text").slice(lo, hi - lo).combine_chunks())]
                 yield _edges(join_sets(ids[lo:hi], labels[lo:hi], sets, percent))
+            tb.release()
 
     return run
 
@@ -346,13 +359,15 @@ def _exact_edges(words: int, percent: int):
 # ---- the join ----------------------------------------------------------------------------------
 
 
+_TASK = ["coarse", "band", "chunk", "other", "part"]
+
+
 def _verify(tasks: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links (u, v) found in tasks (id, label, coarse, chunk, part), each with its whole texts."""
-    wanted = written(bit_filter(tasks, "id"), "join-filter")
-    texts = maybe_in(docs, F.col("id"), wanted)  # so that few other texts are shuffled
-    rows = texts.join(tasks, "id").select("coarse", "chunk", "part", "id", "label", "text")
-    ordered = rows.repartition("coarse", "chunk", "part").sortWithinPartitions("coarse", "chunk", "part", "id")
-    return written(ordered.mapInArrow(_exact_edges(words, percent), "u long, v long"), "join-links")
+    """Links (u, v) found in tasks (id, label and _TASK), each with its whole texts."""
+    texts = BitFilter.of(tasks, "id", "join-filter").maybe(docs, F.col("id"))  # so that few other texts are shuffled
+    rows = texts.join(tasks, "id").select(*_TASK, "id", "label", "text")
+    ordered = rows.repartition(*_TASK).sortWithinPartitions(*_TASK, "id")
+    return written(ordered.mapInArrow(_exact_edges(words, percent, _TASK), "u long, v long"), "join-links")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -367,34 +382,54 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     known = written(profiles(rows, words, percent), "join-profiles")
-    groups = written(known.where("set_key is not null and id is not null").groupBy("set_key").agg(F.min("id").alias("rep")), "join-groups")
-    reps = known.join(groups, (known["set_key"] == groups["set_key"]) & (known["id"] == groups["rep"])).select("id", "n", "prefix", "map")
-    tokens = reps.select(F.explode("prefix").alias("token"), "id").repartition("token").sortWithinPartitions("token", "id")
-    blocks = written(tokens.mapInArrow(_blocks, "block long, id long, large boolean"), "join-blocks")
-    members = blocks.where("not large").select("block", "id").distinct()
-    signed = members.join(reps.select("id", "n", "map"), "id").select("block", "n", "id", "map")
-    near = signed.repartition("block").sortWithinPartitions("block", "n", "id").mapInArrow(_coarse_edges(percent), "u long, v long")
-    coarse = connected_components(near.unionByName(blocks.where("large").select(F.col("block").alias("u"), F.col("id").alias("v"))), "u", "v")
-    sized = coarse.join(known.groupBy("id").agg(F.max("n").alias("n")), F.col("node") == F.col("id")).select("id", F.col("component").alias("coarse"), "n")
-    chunks = sized.groupBy("coarse").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
-    dealt = written(sized.join(chunks, "coarse").select("id", "coarse", "n", "chunks", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")), "join-dealt")
-    links = _verify(dealt.select("id", F.col("id").alias("label"), "coarse", "chunk", F.lit(0).alias("part")), rows, words, percent)
-    if not dealt.where("chunks > 1").isEmpty():
-        links = links.unionByName(_across(dealt.where("chunks > 1"), links, rows, words, percent))
-    found = connected_components(links, "u", "v")
-    named = known.join(groups, "set_key", "left").join(found, F.col("rep") == F.col("node"), "left")
-    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component_id"))
+    keyed = known.where("set_key is not null and id is not null")
+    groups = written(keyed.groupBy("set_key").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k"), "join-groups")
+    own = F.concat(F.hex("set_key"), F.lit("|"), F.col("id").cast("string"))
+    spare = keyed.select("set_key", "id").join(groups, "set_key").where("id <> rep").select(own.alias("own"))
+    reps = without_keys(keyed, own, spare, "join-spare").select("id", "hashes")
+    coarse = connected_components(_star_edges(reps, "join-stars"), "u", "v", contract=True)
+    sizes = keyed.groupBy("id").agg(F.max("n").alias("n"))
+    classes = written(coarse.join(sizes, F.col("node") == F.col("id")).select("id", F.col("component").alias("coarse"), "n"), "join-classes")
+    for seed in AGAIN:
+        large = classes.groupBy("coarse").agg(F.sum("n").alias("load")).where(F.col("load") > CHUNK_SHINGLES).select("coarse")
+        if large.isEmpty():
+            break
+        big = written(classes.join(large, "coarse", "left_semi"), "join-large")
+        classes = written(classes.join(large, "coarse", "left_anti").select("id", "coarse", "n").unionByName(_again(big, rows, words, percent, seed)), "join-classes")
+    dealt = written(_dealt(classes, percent), "join-dealt")
+    links = _verify(dealt.select("id", F.col("id").alias("label"), "coarse", "band", "chunk", F.lit(0).alias("other"), F.lit(0).alias("part")), rows, words, percent)
+    if not dealt.where("large").isEmpty():
+        links = links.unionByName(_across(dealt.where("large"), links, rows, words, percent))
+    found = connected_components(links, "u", "v", contract=True)
+    named = known.select("id", "n", "set_key").join(groups, "set_key", "left")
+    named = named.withColumn("rep", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id"))).join(found, F.col("rep") == F.col("node"), "left")
+    return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def _dealt(classes: DataFrame, percent: int) -> DataFrame:
+    """Classes (id, coarse, n) with their cells: band, chunk and whether the class is large. Sizes of
+    linked sets are in the same or in adjacent bands."""
+    load = classes.groupBy("coarse").agg((F.sum("n") > CHUNK_SHINGLES).alias("large"))
+    width = math.log(100 / min(percent, 99)) * (1 + 1e-9)
+    band = F.when(F.col("large"), F.floor(F.log("n") / width)).otherwise(0).cast("int")
+    banded = classes.join(load, "coarse").withColumn("band", band)
+    cells = banded.groupBy("coarse", "band").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("chunks"))
+    chunk = F.when(F.col("large"), F.pmod(F.xxhash64("id"), F.col("chunks"))).otherwise(0).cast("int")
+    return banded.join(cells, ["coarse", "band"]).select("id", "coarse", "n", "band", chunk.alias("chunk"), "large")
 
 
 def _across(dealt: DataFrame, links: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between chunks of hot coarse classes: whatever is outside a class's main component
-    meets every chunk, in blocks of bounded size."""
-    so_far = connected_components(links, "u", "v")
-    named = written(dealt.join(so_far, F.col("id") == F.col("node"), "left").select("id", "coarse", "n", "chunks", "chunk", F.coalesce("component", "id").alias("label")), "join-named")
+    """Links between cells of large classes: whatever is outside a class's main component meets the
+    cells of its own and of adjacent size bands, in blocks of bounded size."""
+    so_far = connected_components(links, "u", "v", contract=True)
+    named = written(dealt.join(so_far, F.col("id") == F.col("node"), "left").select("id", "coarse", "n", "band", "chunk", F.coalesce("component", "id").alias("label")), "join-named")
     main = named.groupBy("coarse", "label").agg(F.count("*").alias("k")).groupBy("coarse").agg(F.max_by("label", F.struct("k", -F.col("label"))).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = named.join(main, "coarse")
-    rest = open_.where("label != main")
-    parts = rest.groupBy("coarse").agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("parts"))
-    home = open_.join(parts, "coarse").select("id", "label", "coarse", "chunk", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    away = rest.join(parts, "coarse").select("id", "label", "coarse", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")).cast("int").alias("part"))
+    open_ = written(named.join(main, "coarse").drop("labels"), "join-open")
+    rest = open_.where("label <> main")
+    blocks = rest.groupBy("coarse", F.col("band").alias("other")).agg(F.ceil(F.sum("n") / CHUNK_SHINGLES).cast("int").alias("parts"))
+    cells = open_.select("coarse", "band", "chunk").distinct()
+    pairs = cells.join(blocks, "coarse").where("abs(band - other) <= 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pairs = written(pairs.select(*_TASK, "parts"), "join-pairs")
+    home = open_.join(pairs, ["coarse", "band", "chunk"]).select("id", "label", *_TASK)
+    away = rest.select("id", "label", "coarse", F.col("band").alias("other")).join(pairs, ["coarse", "other"]).where("part = pmod(xxhash64(id, 1), parts)").select("id", "label", *_TASK)
     return _verify(written(home.unionByName(away).distinct(), "join-tasks"), rows, words, percent)

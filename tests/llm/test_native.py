@@ -37,7 +37,7 @@ def components(nodes, pairs):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_components(spark, seed):
+def test_components(spark, monkeypatch, seed):
     r = random.Random(seed)
     pairs = [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(200, k) for k in range(201, 260)] + [(5, 5)]
     df = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
@@ -45,15 +45,22 @@ def test_components(spark, seed):
     got = dict(graph.connected_components(df, "a", "b").collect())
     linked = {n for a, b in pairs if a != b for n in (a, b)}
     assert got == {n: c for n, c in want.items() if n in linked}
+    for edges, nodes in ((1, 500_000), (5000, 30))[seed - 1 :]:  # hot nodes, small forests
+        monkeypatch.setattr(graph, "MANY_EDGES", edges)
+        monkeypatch.setattr(graph, "HELD_NODES", nodes)
+        assert dict(graph.connected_components(df.repartition(3), "a", "b", contract=edges > 1).collect()) == got
     assert graph.connected_components(df.limit(0), "a", "b").count() == 0
 
 
 def test_filter_and_without_keys(spark):
     df = spark.range(2000).toDF("id")
     keys = df.where("id % 7 = 0")
-    bits = storage.bit_filter(keys, "id")
-    kept = {r.id for r in storage.maybe_in(df, F.col("id"), bits).collect()}
+    bits = storage.BitFilter.of(keys, "id", "t")
+    kept = {r.id for r in bits.maybe(df, F.col("id")).collect()}
     assert kept >= set(range(0, 2000, 7)) and len(kept) < 300
+    clash = spark.createDataFrame([(7, 1, 2, 3), (8, 1, 2, 3)], "__key long, __maybe int, __GONE int, __b int")
+    assert storage.without_keys(clash, F.col("__key"), keys, "t").collect() == [(8, 1, 2, 3)]
+    assert storage.fresh_name(["__Made", "__made1"], "__made") == "__made2"
     left = storage.without_keys(spark.createDataFrame([(1, "a"), (7, "b"), (None, "c"), (7, "d")], "id long, block string"), F.col("id"), keys, "t")
     assert rows(left) == [(1, "a"), (None, "c")]
 
@@ -82,6 +89,22 @@ def test_lsm_runs(spark):
     assert sorted((r.id, r.keep_id, r.group_size) for r in index.resolve().collect()) == [(1, 3, 2), (2, 2, 1), (3, 3, 2), (4, 4, 1)]
 
 
+def test_lsm_lookup_reads_matching_runs(spark):
+    index = exact_dedup.DigestIndex(spark)
+    for k in range(3):
+        index.ingest(docs_of(spark, [(100 * k + i, f"{k} {i}") for i in range(50)]))
+    assert [r.reads for r in index.runs] == [0, 0, 0]
+    asked = docs_of(spark, [(900, "1 7"), (901, "new"), (902, None), (903, "1 8"), (903, "1 8")])
+    assert rows(index.lookup(asked)) == [(900, 107), (903, 108)] and [r.reads for r in index.runs] == [0, 1, 0]
+    assert index.lookup(docs_of(spark, [(1, "no")])).count() == 0 and [r.reads for r in index.runs] == [0, 1, 0]
+    index.ingest(asked)  # a smaller tier
+    assert len(index.runs) == 4
+    index.ingest(docs_of(spark, [(500 + i, f"1 {i}") for i in range(50)]))  # the tier is full: merged
+    assert sorted(r.rows for r in index.runs) == [5, 150]
+    got = {(r.id, r.keep_id, r.group_size) for r in index.resolve().collect()}
+    assert {(107, 900, 3), (507, 900, 3), (108, 903, 4), (901, 901, 1), (0, 0, 1), (120, 520, 2)} <= got and len(index.runs) == 1
+
+
 def brute_url(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
@@ -123,6 +146,27 @@ def test_url_classes(spark):
     assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "allow", 6: "allow", 7: "allow", 8: "block", 9: "block", 10: "allow"}
 
 
+def test_link_targets(spark):
+    """Targets as a browser's parser and resolver name them, against the standard library's."""
+    import html
+    from urllib.parse import urljoin
+
+    base = "http://h.com/a/b/c?q=1#f"
+    targets = ["?x=1&amp;y=2", "../p", "../../../p?z#w", "./", "..", "d/./e/../f", "/abs/../r", "//o.net/x", "http://h.com/%C3&#233;&#xE9;?&#38;", "#only", "g&quot;h", "https://k.org", "a&#0;b", "x&#128512;y", "&amp;#65;", " sp ", ""]
+    links = ['<link rel="nofollow CanonicaL" href="%s">', "<LINK\nhref='%s'\trel=canonical />", '<meta http-equiv=REFRESH content="0;URL=%s">']
+    pages, want = [], set()
+    for i, t in enumerate(targets):
+        for k, link in enumerate(links):
+            u = f"http://h{i}-{k}.com/a/b/c?q=1#f"
+            pages.append((u, "<p>" + link % t))
+            to = urljoin(u, html.unescape(t.replace("&#0;", "\0")).strip()).replace("\0", "&#0;").split("#", 1)[0].split("://", 1)[1]
+            if t:
+                want.add((u.split("://")[1].split("#")[0], to))
+    pages += [(base, "<link rel='canonicals' href='/n'><link rel=icon href=/n title=canonical><meta name=refresh content='0;url=/n'><link rel=canonical href='mailto:a@b'>"), (None, links[0] % "/x"), (base, None), ("no url", links[0] % "/x")]
+    df = spark.createDataFrame(pages, "url string, html string")
+    assert {tuple(r) for r in url_filter.link_edges(df).collect()} == want
+
+
 def test_warc(spark):
     big = "é" * 3_000_000
     pages = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (2, "u", None), (5, "v", ""), (7, "w", big), (4, "x", "\r\n\r\nWARC/1.1"), (1, "again", "same"), (None, "n", "same"), (9, "y", big)]
@@ -162,11 +206,32 @@ def test_m_tree(seed):
     tree.computed = 0
     tree.search(x[0], 5)
     assert tree.computed < len(x)  # bounds spare distances
+    floor = sorted(x @ x[0])[-5]
+    assert tree.search(x[0], 5, floor=int(floor)) == tree.search(x[0], 5) and tree.search(x[0], 5, floor=10**9) == []
     assert mtree.MTree(np.array([], np.int64), np.zeros((0, 3), np.int64)).search(x[0, :3], 5) == []
 
 
+def test_partitions_are_spared(spark, monkeypatch):
+    """Queries of one of several clusters leave the others' pages alone."""
+    for name, n in (("PIVOT_VECTORS", 50), ("LEAF", 8)):
+        monkeypatch.setattr(mtree, name, n)
+    rng = np.random.default_rng(9)
+    centres = np.eye(8, dtype=np.int64) * 1000
+    x = np.concatenate([c + rng.integers(-3, 4, (60, 8)) for c in centres])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, vec array<double>")
+    got, far = {}, []
+    real = mtree.written
+    monkeypatch.setattr(mtree, "written", lambda d, label, **o: (far.append((label, t := real(d, label, **o))), t)[1])
+    for r in mtree.top_k(df, df.where("vec_id % 40 = 0"), 3).collect():
+        got.setdefault(r.query_id, []).append((r.score, -r.vec_id))
+    for q, found in got.items():
+        assert sorted(found, reverse=True) == sorted(((int(x[q] @ x[j]), -j) for j in range(len(x)) if j != q), reverse=True)[:3]
+    assert len(got) == 12 and dict(far)["topk-far"].count() == 0
+
+
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "TREE_VECTORS", 20)
+    for name, n in (("PIVOT_VECTORS", 25), ("PAGE_VECTORS", 20), ("QUERY_BLOCK", 2), ("LEAF", 4)):
+        monkeypatch.setattr(mtree, name, n)
     rng = np.random.default_rng(5)
     data = [(i, [float(v) for v in rng.normal(size=4)]) for i in range(100)] + [(100, [1.0, 0.0, 0.0, 0.0]), (150, [1.0]), (200, None), (250, [1.0, None]), (300, [float("nan")]), (350, [float("inf")]), (None, [1.0]), (400, [])]
     df = spark.createDataFrame([(*d, 1) for d in data], "vec_id long, embedding array<double>, rank int")
@@ -185,7 +250,8 @@ def test_top_k(spark, monkeypatch):
 
 def test_top_k_of_large_components(spark, monkeypatch):
     """Only null, NaN and infinite components keep a vector out; large ones are scored exactly."""
-    monkeypatch.setattr(mtree, "TREE_VECTORS", 20)
+    for name, n in (("PIVOT_VECTORS", 25), ("PAGE_VECTORS", 20), ("QUERY_BLOCK", 2), ("LEAF", 4)):
+        monkeypatch.setattr(mtree, name, n)
     rng = np.random.default_rng(6)
     data = {i: [float(v) for v in rng.normal(size=4)] for i in range(100)}
     data |= {50: [5000.0, 0.1, 0.0, 0.0], 101: [-4096.0, 1.0, 1.0, 1.0], 102: [1e7 + 1, -0.5, 2.0, 3.0], 103: [1e7 + 1, -0.5, 2.0, 3.0], 104: [0.0, 3e12, 0.0, 0.0], 105: [0.0, 3e12, 0.003, 0.0], 106: [-1e30, 0.0, 0.0, 0.0], 150: [0.0, 0.0, 1e5, 0.0]}

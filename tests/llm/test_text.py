@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from pathlib import Path
 
 import numpy as np
@@ -9,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from larkspur.llm import langid, mixing, ngram_join, pieces, pii, quality
 from larkspur.llm import textbytes as tb
@@ -85,28 +87,79 @@ def test_ngram_edges(spark):
     assert [x.component_id for x in got if x.doc_id is None] == [None]
 
 
-def test_large_blocks(spark):
-    """More documents share routing shingles than a block may hold."""
+def test_large_class_of_links(spark):
+    """More linked documents than a task holds."""
     r = random.Random(4)
     base = [f"w{k}" for k in range(80)]
-    texts = list(enumerate(near(r, base, 1) for _ in range(ngram_join.BLOCK_DOCS + 200)))
+    texts = list(enumerate(near(r, base, 1) for _ in range(900)))
     texts += [(10_000, "far away from all of this"), (10_001, " ".join(base[:40]))]
     got = ngram_join.ngram_components(docs_of(spark, texts), words=3, percent=90).collect()
     assert {x.component_id for x in got if x.doc_id < 10_000} == {0} and {x.component_id for x in got if x.doc_id >= 10_000} == {10_000, 10_001}
 
 
-def test_adjacent_large_runs():
-    """Each of two neighbouring large runs is one block of its own, wherever batches end."""
-    n = ngram_join.BLOCK_DOCS
-    a, b = n + 88, 2 * n + 276
-    tokens, ids = np.array([5] * a + [9] * b), np.arange(a + b)
-    for first in (1, n - 1, n, n + 1, a - 1, a, a + 1, a + n, a + n + 1):
-        for size in (1, n // 2, n, n + 1, b):
-            cuts = [0, first, *range(first + size, a + b, size), a + b]
-            batches = [pa.RecordBatch.from_arrays([pa.array(tokens[i:j]), pa.array(ids[i:j])], names=["token", "id"]) for i, j in zip(cuts, cuts[1:])]
-            out = [x for batch in ngram_join._blocks(iter(batches)) for x in batch.to_pylist()]
-            assert [x["id"] for x in out] == ids.tolist() and all(x["large"] for x in out)
-            assert {x["block"] for x in out if x["id"] < a} == {0} and {x["block"] for x in out if x["id"] >= a} == {a}, (first, size)
+@pytest.mark.parametrize("again", [(), (1, 2)])
+def test_large_class_without_links(spark, monkeypatch, again):
+    """A class far beyond a task, most of whose documents are linked with nothing; rare links are found."""
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", 400)
+    monkeypatch.setattr(ngram_join, "AGAIN", again)
+    monkeypatch.setattr(ngram_join, "route", lambda s, percent, seed=0: np.zeros(int(len(s) > 0), np.int64))  # one class
+    r = random.Random(5)
+    texts = [(i, " ".join(f"v{r.randrange(500)}" for _ in range(r.randrange(20, 60)))) for i in range(0, 300, 2)]
+    texts += [(i + 1, near(r, t.split(), r.randrange(0, 2))) for i, t in texts[::5]]
+    sets = {i: shingles_of(t, 3) for i, t in texts}
+    want = components(sets, [(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])])
+    got = ngram_join.ngram_components(docs_of(spark, texts), words=3, percent=80).collect()
+    assert len(set(want.values())) < len(want) and {x.doc_id: x.component_id for x in got} == want
+
+
+def components(nodes, pairs):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {n: top(n) for n in nodes}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 2**32), st.sampled_from([50, 80, 90, 95, 99]), st.integers(0, 2))
+def test_linked_sets_are_routed_together(n, seed, percent, again):
+    """Two different sets that just keep the similarity have a routing hash in common."""
+    rng = np.random.default_rng(seed)
+    union = np.unique(rng.integers(0, 2**64, 100 * n // percent + 2, dtype=np.uint64, endpoint=False))
+    a = np.sort(rng.choice(union, min(n, len(union)), replace=False))
+    both = a.copy()
+    rng.shuffle(both)
+    rest = np.setdiff1d(union, a)
+    rng.shuffle(rest)
+    tries = [(drop, add) for drop in range(len(a) + 1) for add in range(len(rest) + 1) if drop + add and 100 * (len(a) - drop) >= percent * (len(a) + add)]
+    for drop, add in [tries[int(i)] for i in rng.integers(0, len(tries), min(4, len(tries)))] + tries[-2:]:
+        b = np.sort(np.concatenate([both[drop:], rest[:add]]))
+        if len(b):
+            assert ngram_join.linked(a, b, percent)
+            assert set(ngram_join.route(a, percent, again).tolist()) & set(ngram_join.route(b, percent, again).tolist()), (len(a), drop, add)
+
+
+def test_stars_of_batches():
+    """Edges from the first id of each hash, wherever batches end, and hashes combined before the shuffle."""
+    r = random.Random(8)
+    sets = [(i, sorted({r.randrange(40) if r.random() < 0.7 else 5 for _ in range(4)})) for i in range(120)]
+    schema = pa.schema([("id", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+    want = components(range(120), [(a, b) for a, x in sets for b, y in sets if a < b and set(x) & set(y)])
+    for size in (1, 7, 50, 120):
+        batches = [pa.RecordBatch.from_pylist([{"id": i, "hashes": h} for i, h in sets[k : k + size]], schema=schema) for k in range(0, 120, size)]
+        posts = sorted((x["hash"], x["id"], x["first"]) for b in ngram_join._posts(iter(batches)) for x in b.to_pylist() if x["first"] is None)
+        made = [(x["first"], x["id"]) for b in ngram_join._posts(iter(batches)) for x in b.to_pylist() if x["first"] is not None]
+        assert len(posts) <= 40 * len(batches)
+        for cut in (1, 3, 1000):
+            rows = [pa.RecordBatch.from_pylist([dict(zip(("hash", "id", "first"), p)) for p in posts[k : k + cut]], schema=pa.schema([(n, pa.int64()) for n in ("hash", "id", "first")])) for k in range(0, len(posts), cut)]
+            edges = [(x["u"], x["v"]) for b in ngram_join._stars(iter(rows)) for x in b.to_pylist()]
+            assert components(range(120), edges + made) == want
 
 
 @settings(max_examples=60, deadline=None)
@@ -117,7 +170,6 @@ def test_signature_bound(a, b):
     for bits in (512, 4096):
         x, y = ngram_join.signature(a, bits), ngram_join.signature(b, bits)
         assert int(np.bitwise_count(x ^ y).sum()) <= apart
-        assert (ngram_join.folded(x, 8) == ngram_join.signature(a, 512)).all()
     assert ngram_join.overlap(a, b) == len(set(a.tolist()) & set(b.tolist()))
 
 
@@ -169,8 +221,7 @@ def test_pii_base(text):
 def test_pii_viterbi_is_the_best_segmentation():
     weights = pii.trained_weights()
     text = "call +1 (314) 555-6532 4663 6226 or 12 34"
-    m = next(pii._RUN.finditer(text))
-    borders, found = pii._lattice(text, m.start(), m.end())
+    borders, found = pii._lattice(text, *pii.runs(text)[0])
     n, scores = len(borders) - 1, pii._scores(weights, found)
 
     def best(p):
@@ -182,6 +233,20 @@ def test_pii_viterbi_is_the_best_segmentation():
     assert got == pytest.approx(best(0))
 
 
+def test_pii_runs():
+    text = "x ann.w[at]host(dot)com, 12 or mail (at) post.org 3 (at) [at]q.com a[at]b"
+    assert [text[i:j] for i, j in pii.runs(text)] == ["ann.w[at]host(dot)com", "12 ", "mail (at) post.org", "3 ("]
+    for n in (0, 1, 50):
+        assert pii.runs("a" * n + "[at]b.c") == ([(0, n + 7)] if n else [])
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6 + "7", "a[at]" * 200_000, "ab1" * 300_000, "a@" * 500_000, "(at)" * 250_000, "1 " * 100_000, "+1(" * 300_000])
+def test_pii_is_linear_on_long_texts(text):
+    began = time.perf_counter()
+    base, both = pii.all_spans(text, pii.trained_weights())
+    assert time.perf_counter() - began < 20 and len(base) <= len(both)
+
+
 def test_pii_model_on_unseen_lines():
     weights = pii.trained_weights()
     lines = pii._training_lines(seed=99)
@@ -287,8 +352,9 @@ def test_raking():
 
 def test_mixing(spark):
     r = random.Random(2)
+    # one vocabulary, so that no topic is of one source alone
     a = docs_of(spark, [(i, "word " * r.randrange(1, 40)) for i in range(1500)], "en", "big")
-    b = docs_of(spark, [(i, "mot " * r.randrange(1, 40)) for i in range(1500, 2000)], "en", "small")
+    b = docs_of(spark, [(i, "word " * r.randrange(1, 40)) for i in range(1500, 2000)], "en", "small")
     odd = docs_of(spark, [(3000, None), (3001, ""), (3001, "")], None, None)
     targets = mixing.MixTargets(weights={"source": {"big": 1, "small": 1}}, temper={"lang": 1.0, "topic": 1.0}, keep_share=0.4)
     got = mixing.mix(a.unionByName(b).unionByName(odd), targets).collect()
@@ -322,10 +388,68 @@ def test_mixing_of_many_values(spark, monkeypatch, here):
         mixing.mix(docs, mixing.MixTargets(weights={"lang": {"nowhere": 1, "l0": 1}}))
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="a1# \n\té漢", max_size=40), max_size=10))
-def test_make_up(texts):
-    topics, words = mixing.make_up(pa.array([*texts, None], pa.string()))
-    assert words.tolist() == [len(words_of(t)) for t in [*texts, None]]
-    for t, k in zip(texts, topics):
-        assert (k == mixing.MISSING) == (t == "")
+def test_topics():
+    """Texts of different vocabularies part; the order of the sample does not matter; words are counted."""
+    r = random.Random(7)
+    groups = [[f"{g}{k}" for k in range(60)] for g in "abcd"]
+    texts = [" ".join(r.choice(groups[i % 4]) for _ in range(80)) + " the of and" for i in range(200)]
+    slots = [mixing._slots(h) for h in tb.each_words(pa.array(texts))]
+    model = mixing.learn_topics(slots)
+    assert (model.weights == mixing.learn_topics(slots[::-1]).weights).all()
+    topics, words = model.assign(pa.array([*texts, "", None, " \n", "the " * 200_000]))
+    parts = [set(topics[g:200:4]) for g in range(4)]
+    assert sum(map(len, parts)) == len(set().union(*parts)) and topics[200:203] == [None] * 3 and topics[203]
+    assert words.tolist() == [83] * 200 + [0, 0, 0, 200_000]
+    assert mixing.learn_topics([]).assign(pa.array(["a b"])) == (["t0"], [2])
+
+
+def test_mixing_of_clashing_names(spark):
+    docs = docs_of(spark, [(1, "a b"), (2, "c"), (None, "d"), (3, "word " * 300_000)]).withColumn("__made", F.lit("m")).withColumn("__mix_cell_lang", F.lit("c")).withColumn("topic", F.lit(4)).withColumn("__MIX_id", F.lit(5))
+    got = mixing.mix(docs, prefix="out_")
+    assert got.columns == [*docs.columns, *(f"out_{n}" for n in mixing.RESULTS)] and {(x["__made"], x.topic) for x in got.collect()} == {("m", 4)}
+    assert sorted(x.out_tokens for x in got.collect()) == [1, 1, 2, 300_000]
+    with pytest.raises(ValueError, match="__kept"):
+        mixing.mix(docs.withColumn("__kept", F.lit(1)))
+
+
+def test_pieces_of_clashing_names(spark):
+    docs = docs_of(spark, [(1, "x" * 700), (2, "y")]).withColumn("key", F.lit("k")).withColumn("__key", F.lit("u")).withColumn("__made", F.lit("m")).withColumn("chunk", F.lit(3)).withColumn("__ids", F.lit(4))
+    got = pieces.encode(docs, giant=200, chunk=64, check_col="same")
+    assert got.columns == [*docs.columns, "ids", "same"] and all(x.same and (x.key, x["__key"], x["__made"], x.chunk, x["__ids"]) == ("k", "u", "m", 3, 4) for x in got.collect())
+
+
+def test_matrix_in_one_pass():
+    """Chunks without a space: the matrix of all left states is that of each alone."""
+    v = pieces.vocabulary(pieces.MODEL)
+    text = pieces.normalised("".join(random.Random(3).choice(["the", "ing", "aa", "x", "é", "tion"]) for _ in range(60)))
+    for k, last, t, lo, hi in pieces.split(text, 40, v.longest):
+        c = pieces.Chunk(v, t, lo, hi, k == 0, last)
+        for left, rights in c.matrix().items():
+            if k:
+                nodes = pieces._paths(v, t, [(lo - left[0], lo + left[1])], lo, hi)
+                assert rights == {c._state(x, hi) for x in c._ends(nodes, hi)}
+
+
+def test_quality_of_one_long_token(spark):
+    """A token longer than a piece is one token."""
+    for text in ("a" * (3 * tb.PIECE + 5) + " end", "!" * (2 * tb.PIECE) + "ab", "b " + "é" * tb.PIECE):
+        whole = quality._features(quality._tokens(np.frombuffer(text.encode(), np.uint8))[0])
+        assert (next(quality.each_features(pa.array([text]))) == whole).all()
+
+
+def test_quality_counts_an_id_once(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    hot = docs_of(spark, [(1, f"text {i}") for i in range(300)] + [(2, "other")])
+    assert len(quality.training_sample(hot.withColumn("y", F.lit(1)), "doc_id", "text", "y")) == 2
+    assert quality.train_on(hot, labels).weights.any()
+
+
+def test_languages_have_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD_LANGUAGES", 7)
+    r = random.Random(3)
+    names = ["q" + "".join("abcdefgh"[k // 8**j % 8] for j in range(3)) for k in range(300)]
+    rows = [(i, " ".join(f"{n}{r.choice('uvwxyz')}" for _ in range(30)), n) for i, n in enumerate(names * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.training_counts(docs, "doc_id", "text", "lang")) == 300
+    got = langid.identify(docs.where("doc_id < 300"), docs.where("doc_id >= 300")).collect()
+    assert sum(x.lang_pred == names[x.doc_id] for x in got) > 290
