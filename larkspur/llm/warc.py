@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from larkspur.llm.storage import fresh_path, small_batches, written
+from larkspur.llm.storage import BitFilter, fresh_path, small_batches, written
 
 #: An archive is closed when it passes this size; so a file's index entries are a bounded group.
 FILE_BYTES = 256 << 20
@@ -82,18 +82,26 @@ def _filesystem(path: str):
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", directory: str | None = None) -> DataFrame:
     """Write a record per row and return the index (INDEX_SCHEMA), already written to shared storage.
 
-    A null payload is empty. Of rows with equal payload bytes (by SHA-1) the row with the smallest
+    A null payload is empty. Of rows with equal payload bytes (by SHA-256) the row with the smallest
     id is a response and the others revisit it; rows that repeat the smallest id are responses
-    too, and a null id sorts after every id. An empty table writes no archive.
+    too, and a null id sorts after every id. An empty table writes no archive. Payloads that occur
+    once are written where they are read; only repeated ones (and the few that a filter takes for
+    such) are shuffled. ``directory`` must be new: a folder of Spark's file systems.
     """
     spark = pages.sparkSession
     small_batches(spark)
     directory = directory or fresh_path(spark, "warc")
     payload = F.coalesce(F.encode(F.col(html_col), "UTF-8"), F.lit(b""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
-    # Payloads travel once. A hot payload is met by map-side minima here and by AQE's skew join.
-    rows = rows.join(first, "sha").select("page_id", "url", "payload", "first")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
+    sha = F.unhex(F.sha2("payload", 256))
+    seen = rows.select("page_id", sha.alias("sha")).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    repeated = written(seen.where("n > 1").select("sha", "first"), "warc-repeated")
+    flagged, key, maybe = BitFilter.of(repeated, "sha", "warc-filter").flagged(rows, sha)
+    names = ("page_id", "url", "payload")
+    # a payload's first id, of those that occur once their own; a hot payload is met by AQE's skew join
+    moved = flagged.where(maybe).select(*names, F.col(key).alias("k")).join(repeated, F.col("k") == F.col("sha"), "left")
+    moved = moved.select(*names, F.when(F.col("sha").isNull(), F.col("page_id")).otherwise(F.col("first")).alias("first"))
+    rows = flagged.where(f"not {maybe}").select(*names, F.col("page_id").alias("first")).unionByName(moved)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, base = _filesystem(directory)
