@@ -61,31 +61,83 @@ def with_rules(df: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     return df.join(best, ["host", "path"], "left").select(*[F.col(f"`{n}`") for n in names], "__best.rule", "__best.ruled")
 
 
+#: Named character references that urls in attributes use; numeric ones are decoded by rule.
+_NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "amp": "&"}
+_SPACE = "[ \\t\\n\\x0c\\r]"
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag's text, as it stands; empty if there is none."""
+    pattern = rf"""(?is){_SPACE}{name}{_SPACE}*={_SPACE}*(?:"([^"]*)"|'([^']*)'|([^ \t\n\x0c\r"'>]+))"""
+    return F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)])
+
+
+def _decoded(text: Column) -> Column:
+    """Trimmed, with character references replaced: numeric ones, then the named ones, once each."""
+
+    def one(part: Column) -> Column:  # what follows a "&#"
+        digits = F.regexp_extract(part, r"^([xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", 1)
+        code = F.when(digits.rlike("^[xX]"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).cast("long")
+        good = (digits != "") & (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(good, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
+        return F.when(good, F.concat(char, F.regexp_replace(part, r"^(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});?", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    out = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
+    for name, char in _NAMED.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.regexp_replace(F.when(F.contains(text, F.lit("&")), out).otherwise(text), rf"^{_SPACE}+|{_SPACE}+$", "")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its . and .. segments resolved."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 20)
+    last = F.element_at(parts, -1)
+    done = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, p: F.when(p == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(p == ".", acc).otherwise(F.concat(acc, F.array(p))),
+    )
+    joined = F.concat(F.lit("/"), F.array_join(done, "/"), F.when(last.isin(".", "..") & (F.size(done) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), joined).otherwise(path)
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Rows (src, dst) of node names: canonical links and refresh redirects found in the pages.
 
-    Targets may be absolute, start with ``//`` or ``/``, or be relative to the page's folder.
+    ``rel`` is a list of words and may hold others; attribute values are decoded (numeric and
+    the common named character references). A target may be absolute, start with ``//``, ``/``, ``?``
+    or ``#``, or be relative to the page's folder, with ``.`` and ``..`` segments; <base> is not
+    read. Null urls and pages give no edges.
     """
-    canonical = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-    refresh = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?([^\"'\s>;]+)"
     html = F.col(html_col)
-    marked = pages.where(html.contains("anonical") | html.contains("ANONICAL") | html.rlike("(?i)refresh"))
-    found = with_parts(marked.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")), "url").where("node != ''")
-    targets = F.array_distinct(F.concat(F.expr(f"regexp_extract_all(html, {_sql(canonical)}, 1)"), F.expr(f"regexp_extract_all(html, {_sql(refresh)}, 1)")))
-    raw = found.select(F.col("node").alias("src"), "host", "path", F.explode(targets).alias("t"))
-    folder = F.regexp_extract("path", r"^(.*/)", 1)
+    marked = pages.where(html.rlike("(?i)canonical|http-equiv")).select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    found = with_parts(marked, "url").where("node <> ''")
+    tags = F.expr(r"regexp_extract_all(html, '(?is)<(?:link|meta)[ \\t\\n\\x0c\\r/][^>]*>', 0)")
+    each = found.select(F.col("node").alias("src"), "host", "path", F.regexp_extract("node", r"(\?.*)$", 1).alias("query"), F.explode(tags).alias("tag"))
+    names = {"rel": "rel", "href": "href", "equiv": "http-equiv", "content": "content"}
+    place = ("src", "host", "path", "query")
+    # written step by step (few rows): one plan would repeat each value wherever it is read
+    read = written(each.select(*place, (F.lower(F.substring("tag", 2, 4)) == "link").alias("is_link"), *[_attribute(F.col("tag"), n).alias(k) for k, n in names.items()]), "url-tags")
+    clean = written(read.select(*place, "is_link", *[_decoded(F.col(k)).alias(k) for k in names]), "url-values")
+    words = F.split(F.lower(F.regexp_replace("rel", _SPACE, " ")), " ")
+    after = r"""(?is)^[^;,]*[;,]\s*url\s*=\s*(?:"([^"]*)|'([^']*)|([^"'].*))"""
+    refresh = F.concat(*[F.coalesce(F.regexp_extract("content", after, k), F.lit("")) for k in (1, 2, 3)])
+    target = F.when(F.col("is_link") & F.array_contains(words, "canonical"), F.col("href")).when(~F.col("is_link") & (F.lower("equiv") == "refresh"), F.trim(refresh))
+    raw = written(clean.select(*place, target.alias("t")), "url-targets").where("t <> ''")
+    t, folder = F.col("t"), F.coalesce(F.nullif(F.regexp_extract("path", r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    place = F.concat(F.lit("x://"), F.col("host"))
+    t_path = F.regexp_extract("t", r"^([^?#]*)", 1)
     full = (
-        F.when(F.col("t").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("t"))
-        .when(F.col("t").startswith("//"), F.concat(F.lit("x:"), F.col("t")))
-        .when(F.col("t").startswith("/"), F.concat(F.lit("x://"), F.col("host"), F.col("t")))
-        .otherwise(F.concat(F.lit("x://"), F.col("host"), F.when(folder == "", F.lit("/")).otherwise(folder), F.col("t")))
+        F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t)
+        .when(t.startswith("//"), F.concat(F.lit("x:"), t))
+        .when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(""))  # mailto: and the like
+        .when(t.startswith("?"), F.concat(place, "path", t))
+        .when(t.startswith("#"), F.concat(place, "path", "query"))
+        .otherwise(F.concat(place, _without_dots(F.when(t.startswith("/"), t_path).otherwise(F.concat(folder, t_path))), F.regexp_extract("t", r"^[^?#]*(.*)", 1)))
     )
     ends = with_parts(raw.select("src", full.alias("target")), "target")
-    return ends.where("node != ''").select("src", F.col("node").alias("dst")).distinct()
-
-
-def _sql(pattern: str) -> str:
-    return "r'" + pattern.replace("'", r"\x27") + "'"
+    return ends.where("node <> ''").select("src", F.col("node").alias("dst")).distinct()
 
 
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]], edges: DataFrame | None = None, url_col: str = "url") -> DataFrame:
