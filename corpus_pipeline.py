@@ -1,7 +1,8 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each result
-as Parquet in the shared folder and rereads it as the next stage's documents.
+as Parquet in the shared folder and rereads it as the next stage's documents. Null and empty texts,
+repeated rows, empty tables and columns of any names are met as each stage's operator says.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents sampled by probabilities raked to tempered source, language and topic weights."""
-    return mixing.mix(docs, mixing.MixTargets(keep_share=0.8)).where("__kept").select(*docs.columns)
+    mixed = mixing.mix(docs, mixing.MixTargets(temper={"source": 0.5, "lang": 0.7, "topic": 0.8}, keep_share=0.8), prefix="mix_")
+    return mixed.where("mix_kept").select(*docs.columns)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,64 +12,87 @@ from larkspur.llm import exact_dedup, langid, mixing, mtree, ngram_join, pieces,
 #: The rules of op3: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
+#: The targets of op10: stated language weights (None: documents without one), sources to the power
+#: 0.5 and topics to the power 0.8 of their tokens, half of all tokens. Languages that a corpus does
+#: not have leave their weight to the others.
+MIX_TARGETS = mixing.MixTargets(weights={"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, None: 0.05}}, temper={"source": 0.5, "topic": 0.8}, keep_share=0.5, strict=False)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _fold(n: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """The remainder of a document's id; that of a null id is n, which is in no fold."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(n))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record and read back by the index. Null html is empty; ties of a
+    payload's smallest id are all responses; no pages, no rows."""
     index = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.read_records(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of pieces, a digest of its ids and whether they decode to its text. A null
+    or empty text has no pieces; repeated ids keep their rows."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     both = pieces.encode(docs, check_col="round_trip")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "round_trip")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, longest fitting rule and verdict, of the rule or else of its class of
+    redirects and canonical links. Null urls: empty parts, allow."""
     pages = _table(spark, sf_dir, "pages")
     judged = url_filter.filter_urls(pages.select("page_id", "url"), URL_RULES, url_filter.link_edges(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the rows whose fold is not 1 (a null id is in no fold and
+    not held out). Null texts and texts without a letter are und, with score 0."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", _fold(3) == 1)
-    found = langid.identify(docs.select("doc_id", "text", "held_out"), docs.where("held_out is null or not held_out"))
+    found = langid.identify(docs.select("doc_id", "text", "held_out"), docs.where("not held_out"))
     return found.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 largest integer inner products of every vector whose id is divisible by 50. Null vectors and
+    ids, and vectors with null, NaN or infinite components take no part; ties go to smaller ids."""
     vectors = mtree.quantised(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return mtree.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learned from labelled rows whose fold is not 0 (a null id is in no fold and
+    not held out). Null and empty texts have the model's bias as score."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", _fold(5) == 0)
     model = quality.train_on(docs.where("not held_out"), _table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of three-word shingles and its class at a similarity of 0.9. Null texts and
+    texts without words: 0 shingles, a class of their own."""
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: counts and digest of the base's spans, all spans. Null texts have none."""
     return pii.find_pii(_table(spark, sf_dir, "documents"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the id that stays of its group of equal texts (the largest). Null texts are empty."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.col("__weight").alias("weight"), F.col("__probability").alias("probability"), F.col("__kept").alias("kept"))
+    """Every document with its cell, weight, probability and draw, under MIX_TARGETS."""
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"), MIX_TARGETS, columns=["doc_id", "source", "lang"], prefix="mix_")
+    return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"), F.col("mix_weight").alias("weight"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -206,6 +206,8 @@ def test_m_tree(seed):
     tree.computed = 0
     tree.search(x[0], 5)
     assert tree.computed < len(x)  # bounds spare distances
+    rows_ = np.arange(0, 960, 7)
+    assert tree.search_all(x[rows_], 5, ids[rows_].tolist(), [None] * len(rows_)) == [tree.search(x[j], 5, skip=int(ids[j])) for j in rows_]
     floor = sorted(x @ x[0])[-5]
     assert tree.search(x[0], 5, floor=int(floor)) == tree.search(x[0], 5) and tree.search(x[0], 5, floor=10**9) == []
     assert mtree.MTree(np.array([], np.int64), np.zeros((0, 3), np.int64)).search(x[0, :3], 5) == []

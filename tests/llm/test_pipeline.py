@@ -52,8 +52,10 @@ def test_each_stage_takes_effect(spark):
     assert len(five) == len(whole) and all(x.round_trip and x.ids == v.whole.encode(whole[x.doc_id]) for x in five)
 
 
-def test_empty_documents(spark):
+def test_empty_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in corpus_pipeline.STAGES[1:]:
-        assert stage(spark, docs, "").count() == 0, name
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.mode("overwrite").parquet(f"file://{tmp_path}/labels.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, f"file://{tmp_path}").count() == 0, name
     assert ngram_join.ngram_components(docs).count() == 0
