@@ -4,8 +4,8 @@ The base finds email, ip, card and phone by fixed patterns. The semi-Markov cond
 field looks at runs of text that hold digits or an at-sign: every candidate segment of up to
 MAX_UNITS units is scored as a whole (its shape, checks, neighbours and the word before), and
 dynamic programming chooses boundaries and types of all segments of a run together. Its weights
-are learned at the first call from a generated set of lines, by exact likelihood gradients.
-Spans it finds are added where they touch no base span; base spans always stay.
+are learned on the driver from a generated set of lines, by exact likelihood gradients, and
+broadcast. Runs are found in linear time. Spans it finds are added where they touch no base span; base spans always stay.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.storage import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_UNITS, MAX_CHARS = 16, 80
+MAX_UNITS, MAX_CHARS, MAX_GROUPS = 16, 80, 6  # of an entity; groups are runs of digits
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -78,13 +78,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 # ---- the semi-Markov CRF -------------------------------------------------------------------
 
-_RUN = re.compile(r"[+(]?[0-9][0-9\x20().+\-]*+|[A-Za-z0-9._%+-]+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]+(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]+)+")
+_NUMBERS = re.compile(r"[+(]?[0-9][0-9\x20().+\-]*+")
+_AT = re.compile(r"\x20?[\[(](?:at|AT)[\])]\x20?")
+_AFTER_AT = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(](?:dot|DOT)[\])]\x20?)[A-Za-z0-9-]++)++")
 _UNIT = re.compile(r"[0-9]+|[A-Za-z_%]+|.", re.S)
 _WORD_BEFORE = re.compile(r"([A-Za-z]+)[^A-Za-z0-9]{0,3}$")
 _N_WORDS, _N_SHAPE = 64, 40
 _TYPES = len(KINDS) + 1  # 0: outside
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the runs that may hold entities, in order: addresses spelled with [at], and
+    runs of digits and their marks in between. Each bracket walks left at most to the one before."""
+    spelled, free = [], 0
+    for m in _AT.finditer(text):
+        start = m.start()
+        while start > free and text[start - 1] in _LOCAL:
+            start -= 1
+        after = _AFTER_AT.match(text, m.end()) if start < m.start() else None
+        free = after.end() if after else m.end()
+        if after:
+            spelled.append((start, free))
+    out, at = [], 0
+    for start, end in [*spelled, (len(text), len(text))]:
+        out += [m.span() for m in _NUMBERS.finditer(text, at, start)]
+        if end > start:
+            out.append((start, end))
+        at = end
+    return out
+
+
 def _features(text: str, start: int, end: int) -> list[int]:
     """Whole-span features (indices below _N_SHAPE + _N_WORDS)."""
     span = text[start:end]
@@ -122,7 +145,8 @@ def _lattice(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int
     """Unit borders of a run and its candidate segments (first border, last border, features)."""
     units = [(m.start(), m.end()) for m in _UNIT.finditer(text, start, end)]
     borders = [u[0] for u in units] + [end]
-    digits = np.cumsum([0] + [len(_digits(text[s:e])) for s, e in units])
+    held = [len(_digits(text[s:e])) for s, e in units]
+    digits, groups = np.cumsum([0, *held]).tolist(), np.cumsum([0, *(n > 0 for n in held)]).tolist()
     letters = any(text[s].isalpha() for s, _ in units)
     found = []
     for i, (s, _) in enumerate(units):
@@ -132,8 +156,8 @@ def _lattice(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int
             e = borders[j]
             if e - s > MAX_CHARS:
                 break
-            n = int(digits[j] - digits[i])
-            if n > 19:
+            n = digits[j] - digits[i]
+            if n > 19 or groups[j] - groups[i] > MAX_GROUPS:
                 break
             if text[e - 1].isalnum() and (7 <= n or letters or text.count(".", s, e) == 3):
                 found.append((i, j, _features(text, s, e)))
@@ -253,15 +277,15 @@ def trained_weights() -> np.ndarray:
     """Weights (types x features), fitted by AdaGrad on the likelihood of the generated lines."""
     weights = np.zeros((_TYPES, _N_SHAPE + _N_WORDS))
     square = np.full_like(weights, 1e-2)
-    runs = []
+    lattices = []
     for text, gold in _training_lines():
-        for m in _RUN.finditer(text):
-            borders, found = _lattice(text, m.start(), m.end())
+        for start, end in runs(text):
+            borders, found = _lattice(text, start, end)
             place = {b: i for i, b in enumerate(borders)}
             want = {(place[s], place[e], k) for s, k, e in gold if s in place and e in place}
-            runs.append((len(borders) - 1, found, want))
+            lattices.append((len(borders) - 1, found, want))
     for _ in range(4):
-        for n, found, want in runs:
+        for n, found, want in lattices:
             g = _gradient(weights, n, found, want) - 1e-3 * weights
             square += g * g
             weights += 0.3 * g / np.sqrt(square)
@@ -271,10 +295,10 @@ def trained_weights() -> np.ndarray:
 def crf_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) that the CRF finds in a whole text."""
     out = []
-    for m in _RUN.finditer(text):
-        if m.end() - m.start() < 7:
+    for start, end in runs(text):
+        if end - start < 7:
             continue
-        borders, found = _lattice(text, m.start(), m.end())
+        borders, found = _lattice(text, start, end)
         if found:
             out += [(borders[i], t - 1, borders[j]) for i, j, t in decode(weights, len(borders) - 1, found)]
     return out
@@ -301,22 +325,24 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, base counts per kind, base_sha256, spans (all, base and added).
+    """One row per row: id_col, base counts per kind, n_added, n_spans, base_sha256, spans (all).
 
     A null text is empty: no spans, the SHA-256 of the empty string. Offsets count code points,
-    ends are exclusive. n_* count the base's spans; n_added those that the CRF adds. Rows with
+    ends are exclusive. n_* count the base's spans; n_added those that the CRF adds, n_spans all. Rows with
     equal ids each give a row. Other columns are ignored.
     """
-    result = "struct<n_email:bigint, n_ip:bigint, n_card:bigint, n_phone:bigint, n_added:bigint, base_sha256:string, spans:string>"
+    result = "struct<n_email:bigint, n_ip:bigint, n_card:bigint, n_phone:bigint, n_added:bigint, n_spans:bigint, base_sha256:string, spans:string>"
+
+    shared = docs.sparkSession.sparkContext.broadcast(trained_weights())  # types x features
 
     @F.arrow_udf(result)
     def scan(column: pa.Array) -> pa.Array:
-        weights, rows = trained_weights(), []
+        weights, rows = shared.value, []
         for x in column:
             base, both = all_spans(x.as_py() or "", weights)
-            rows.append((*(sum(k == n for _, k, _ in base) for n in range(4)), len(both) - len(base), hashlib.sha256(joined(base).encode()).hexdigest(), joined(both)))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64() if i < 5 else pa.string()) for i, c in enumerate(cols)], ["n_email", "n_ip", "n_card", "n_phone", "n_added", "base_sha256", "spans"])
+            rows.append((*(sum(k == n for _, k, _ in base) for n in range(4)), len(both) - len(base), len(both), hashlib.sha256(joined(base).encode()).hexdigest(), joined(both)))
+        cols = list(zip(*rows, strict=True)) or [()] * 8
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64() if i < 6 else pa.string()) for i, c in enumerate(cols)], ["n_email", "n_ip", "n_card", "n_phone", "n_added", "n_spans", "base_sha256", "spans"])
 
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), scan(F.col(text_col)).alias("__found")).select(id_col, "__found.*")
