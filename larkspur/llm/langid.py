@@ -8,6 +8,7 @@ integers, so a text's score does not depend on how rows are batched.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,11 @@ from larkspur.llm.storage import small_batches
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 16
-#: Bound of the training sample, documents per language and characters per training document
-#: (longer documents are not sampled; predictions read whole texts). At most MAX_LANGUAGES, the
-#: most frequent, are learned.
-SAMPLE_PER_LANGUAGE, SAMPLE_CHARS, MAX_LANGUAGES = 800, 20_000, 256
+#: Bound of the training sample: about so many documents of each language, of any length. Their
+#: grams are counted where the texts are; the driver gets SLOTS counts a language.
+SAMPLE_PER_LANGUAGE = 800
+#: Languages whose counts a task holds before it passes them on, and parts of a language's counts.
+HELD_LANGUAGES, COUNT_PARTS = 32, 8
 GAIN = 4.0
 UNIT = 1024.0  # weights are stored in 1/UNIT of a nat
 #: A text whose best two losses differ by less than this share is ambiguous.
@@ -108,40 +110,89 @@ class LanguageModel:
         return best, odds.max(1) / odds.sum(1), ranked[:, 1] - ranked[:, 0] < AMBIGUOUS * np.log(2)
 
 
-def fit(rows: list[tuple[str, str]]) -> LanguageModel:
-    """Learn from (text, language) rows; the result does not depend on their order."""
-    languages = sorted({lang for _, lang in rows})
-    if not languages:
-        return LanguageModel([], np.zeros((0, 1), np.int64), np.zeros((SLOTS, 1), np.int32))
-    counts = np.zeros((len(languages), SLOTS))
-    place = {lang: i for i, lang in enumerate(languages)}
-    for text, lang in rows:
-        data = _FOLD[np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8)]
+def gram_counts(data: np.ndarray) -> np.ndarray:
+    """Counts by slot of all grams of a text's bytes."""
+    out = np.zeros(SLOTS, dtype=np.int64)
+    for at in range(0, len(data), tb.PIECE):  # in pieces that overlap by a gram
+        piece = _FOLD[data[at : at + tb.PIECE + max(ORDERS) - 1]]
         for n in ORDERS:
-            slots = gram_slots(data, n)
-            if len(slots):
-                counts[place[lang]] += np.bincount(slots, minlength=SLOTS)
-    share = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)  # languages weigh alike
-    codes = codewords(len(languages))
-    weights = np.zeros((SLOTS, codes.shape[1]))
+            out += np.bincount(gram_slots(piece, n)[: tb.PIECE], minlength=SLOTS)
+    return out
+
+
+def fit_counted(counts: Iterable[tuple[str, np.ndarray]]) -> LanguageModel:
+    """Learn from (language, counts by slot), each language once; their order does not matter.
+
+    A bit's weights are the log-odds of the mean gram shares of its languages with +1 and with -1;
+    languages weigh alike.
+    """
+    found = sorted(counts, key=lambda x: x[0])
+    codes = codewords(len(found))
+    if not found:
+        return LanguageModel([], np.zeros((0, 1), np.int64), np.zeros((SLOTS, 1), np.int32))
+    all_, yes = np.zeros(SLOTS), np.zeros((SLOTS, codes.shape[1]))
+    for (_, c), code in zip(found, codes, strict=True):
+        share = (c + 0.05) / (c.sum() + 0.05 * SLOTS)
+        all_ += share
+        yes[:, code > 0] += share[:, None]
+    weights = np.zeros_like(yes)
     for b in range(codes.shape[1]):
-        yes, no = share[codes[:, b] > 0], share[codes[:, b] < 0]
-        if len(yes) and len(no):
-            weights[:, b] = np.log(yes.mean(0)) - np.log(no.mean(0))
-    return LanguageModel(languages, codes, np.rint(weights * UNIT).astype(np.int32))
+        n = int((codes[:, b] > 0).sum())
+        if 0 < n < len(found):
+            weights[:, b] = np.log(yes[:, b] / n) - np.log(np.maximum(all_ - yes[:, b], 1e-300) / (len(found) - n))
+    return LanguageModel([x for x, _ in found], codes, np.rint(weights * UNIT).astype(np.int32))
+
+
+def fit(rows: list[tuple[str, str]]) -> LanguageModel:
+    """:func:`fit_counted` over (text, language) rows."""
+    counts: dict[str, np.ndarray] = {}
+    for text, lang in rows:
+        c = gram_counts(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
+        counts[lang] = counts[lang] + c if lang in counts else c
+    return fit_counted(counts.items())
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most about SAMPLE_PER_LANGUAGE rows per language, chosen by a hash of the id."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+def training_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, np.ndarray]]:
+    """(language, gram counts) of about SAMPLE_PER_LANGUAGE rows of every language, drawn by a hash of
+    id and text. Rows equal in both are drawn together."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language, as the model has
     if not sizes:
         return []
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(SAMPLE_PER_LANGUAGE / n)).otherwise(share)
-    draw = F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
-    return [(r["text"], r["lang"]) for r in rows.where((draw < share) & (F.length("text") <= SAMPLE_CHARS)).select("text", "lang").collect()]
+    shares = docs.sparkSession.createDataFrame([(x, SAMPLE_PER_LANGUAGE / n) for x, n in sizes.items()], "l string, share double")
+    draw = F.pmod(F.xxhash64("id", "text", F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    # the shares are a row per language of the model, which is broadcast later too
+    picked = rows.join(F.broadcast(shares), (F.col("lang") == F.col("l")) & (draw < F.col("share"))).select("lang", "text")
+    each = SLOTS // COUNT_PARTS
+
+    def out(held: dict) -> pa.RecordBatch:
+        names = [x for x in held for _ in range(COUNT_PARTS)]
+        parts = [c[k * each : (k + 1) * each].tobytes() for c in held.values() for k in range(COUNT_PARTS)]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(list(range(COUNT_PARTS)) * len(held), pa.int32()), pa.array(parts, pa.binary())], names=["lang", "part", "counts"])
+
+    def count(batches):
+        held: dict[str, np.ndarray] = {}
+        for b in batches:
+            offsets, data = tb.buffers(b.column(1))
+            for lang, lo, hi in zip(b.column(0).to_pylist(), offsets[:-1], offsets[1:], strict=True):
+                held[lang] = held.get(lang, 0) + gram_counts(data[lo:hi])
+                if len(held) >= HELD_LANGUAGES:
+                    yield out(held)
+                    held = {}
+            tb.release()
+        yield out(held)
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(each, np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.int64)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "part": table.column("part").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "lang string, part int, counts binary"
+    found: dict[str, np.ndarray] = {}
+    for r in picked.mapInArrow(count, schema).groupBy("lang", "part").applyInArrow(add, schema).collect():
+        found.setdefault(r["lang"], np.zeros(SLOTS, np.int64))[r["part"] * each : (r["part"] + 1) * each] = np.frombuffer(r["counts"], dtype=np.int64)
+    return list(found.items())
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -152,7 +203,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     Columns of ``docs`` named like a result are replaced.
     """
     small_batches(docs.sparkSession)
-    model = fit(training_sample(train, id_col, text_col, lang_col))
+    model = fit_counted(training_counts(train, id_col, text_col, lang_col))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS x bits integers at most
 
     @F.arrow_udf("struct<lang:string, score:double, ambiguous:boolean>")
