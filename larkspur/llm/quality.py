@@ -8,6 +8,8 @@ dot product per text. Weights are stored as integers, so scores do not depend on
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,7 +60,7 @@ def _features(tokens: np.ndarray) -> np.ndarray:
 
 
 def each_features(column: pa.Array):
-    """Yield the feature slots of every row; long texts are cut at white space, pairs span the cuts."""
+    """Yield the feature slots of every row; long texts are cut between tokens, pairs span the cuts."""
     offsets, data = tb.buffers(column)
     for i, j in tb.groups(offsets):
         lo, hi = offsets[i], offsets[j]
@@ -67,8 +69,14 @@ def each_features(column: pa.Array):
             while at < hi:
                 to = min(hi, at + tb.PIECE)
                 if to < hi:
-                    back = np.flatnonzero(tb.WHITE[data[at:to]])
-                    to = at + int(back[-1]) + 1 if len(back) else to
+                    kind = _CLASS[data[at:to]]
+                    back = np.flatnonzero(kind[1:] != kind[:-1])
+                    if len(back):
+                        to = at + int(back[-1]) + 1
+                    else:  # one token to the end of the piece and maybe beyond
+                        while to < hi and (more := np.flatnonzero(_CLASS[data[to : to + tb.PIECE]] != kind[0])).size == 0:
+                            to = min(hi, to + tb.PIECE)
+                        to = to + int(more[0]) if to < hi else hi
                 parts.append(_tokens(data[at:to])[0])
                 at = to
             yield _features(np.concatenate(parts))
@@ -93,22 +101,25 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
 
-def counted(column: pa.Array):
-    """Yield (slots, counts) of every row, as bytes of int32."""
+def packed(column: pa.Array):
+    """Yield (key, features) of every row: distinct slots with their counts, compressed, and a digest of
+    them that orders rows in any place."""
     for slots in each_features(column):
         at, count = np.unique(slots, return_counts=True)
-        yield at.astype(np.int32).tobytes(), count.astype(np.int32).tobytes()
+        raw = np.stack([at, count]).astype(np.int32).tobytes()
+        yield hashlib.md5(raw, usedforsecurity=False).digest(), zlib.compress(raw, 1)
 
 
-def fit_counted(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityModel:
-    """FTRL-proximal over (slots, counts, label 0 or 1) rows, in a fixed shuffled order."""
+def fit_packed(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityModel:
+    """FTRL-proximal over (key, features, label 0 or 1) rows of :func:`packed`, in a fixed shuffled order."""
     rows = sorted(rows)
     z, n, w = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
         for k in rng.permutation(len(rows)):
-            slots, counts, label = rows[k]
-            at, count = np.append(np.frombuffer(slots, np.int32), np.int32(SLOTS)), np.frombuffer(counts, np.int32)
+            _, features, label = rows[k]
+            slots, count = np.frombuffer(zlib.decompress(features), np.int32).reshape(2, -1)
+            at = np.append(slots, np.int32(SLOTS))
             x = np.append(GAIN * count / max(1, int(count.sum())), 1.0).astype(np.float32)
             zi, ni = z[at], n[at]
             wi = np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
@@ -121,22 +132,25 @@ def fit_counted(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityM
 
 
 def fit(rows: list[tuple[str, int]], seed: int = 6) -> QualityModel:
-    """:func:`fit_counted` over (text, label) rows."""
-    return fit_counted([(*c, label) for c, (_, label) in zip(counted(pa.array([t for t, _ in rows], pa.string())), rows, strict=True)], seed)
+    """:func:`fit_packed` over (text, label) rows."""
+    return fit_packed([(*c, label) for c, (_, label) in zip(packed(pa.array([t for t, _ in rows], pa.string())), rows, strict=True)], seed)
 
 
-def training_sample(train: DataFrame, text_col: str, label_col: str) -> list[tuple[bytes, bytes, int]]:
-    """(slots, counts, label) of all rows labelled 0 or 1, counted where the texts are."""
+def training_sample(train: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[bytes, bytes, int]]:
+    """(key, features, label) of the rows labelled 0 or 1, counted where the texts are. Of rows with an
+    equal id the one with the largest key counts."""
     small_batches(train.sparkSession)
-    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"), F.col(id_col).cast("string").alias("id")).where("label in (0, 1)")
 
     def count(batches):
         for b in batches:
-            found = list(zip(*counted(b.column(0)), strict=True)) or [(), ()]
+            found = list(zip(*packed(b.column(0)), strict=True)) or [(), ()]
             tb.release()
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in found), b.column(1)], names=["slots", "counts", "label"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in found), b.column(1), b.column(2)], names=["key", "features", "label", "id"])
 
-    return [(bytes(r["slots"]), bytes(r["counts"]), r["label"]) for r in rows.mapInArrow(count, "slots binary, counts binary, label int").collect()]
+    found = rows.mapInArrow(count, "key binary, features binary, label int, id string")
+    one = found.groupBy("id").agg(F.max(F.struct("key", "label", "features")).alias("row"))  # a row for each drawn label at most
+    return [(bytes(r["key"]), bytes(r["features"]), r["label"]) for r in one.select("row.*").collect()]
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
@@ -159,7 +173,8 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Data
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on labelled documents; a document with several labels counts once with the largest.
+    """Fit on labelled documents; a document with several labels counts once with the largest, and so
+    do documents with the same id.
 
     The sample's ids are picked from the labels, once, so that texts are read for them alone.
     """
@@ -168,4 +183,4 @@ def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     draw = F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1 << 30))
     known = known.where(draw < F.lit(int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total)))))
     picked = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col(id_col) == F.col("__id"))  # about SAMPLE_DOCS labels
-    return fit_counted(training_sample(picked, "__text", "__label"))
+    return fit_packed(training_sample(picked, "__id", "__text", "__label"))

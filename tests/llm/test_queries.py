@@ -122,7 +122,8 @@ def test_op6(spark, folder):
     for i, y in labels.items():
         if fold(i, 5) != 0 and i in docs:
             at, n = np.unique(features(docs[i]["text"]), return_counts=True)
-            rows.append((at.astype(np.int32).tobytes(), n.astype(np.int32).tobytes(), y))
+            key = hashlib.md5(at.astype(np.int32).tobytes() + n.astype(np.int32).tobytes()).digest()
+            rows.append((key, at.tolist(), n.tolist(), y))
     rows.sort()
     z, n = {}, {}
 
@@ -133,9 +134,8 @@ def test_op6(spark, folder):
     rng = np.random.default_rng(6)
     for _ in range(quality.PASSES):
         for k in rng.permutation(len(rows)):
-            at, counts, y = rows[k]
-            counts = np.frombuffer(counts, np.int32)
-            x = {int(j): float(np.float32(quality.GAIN * c / max(1, int(counts.sum())))) for j, c in zip(np.frombuffer(at, np.int32), counts)} | {"bias": 1.0}
+            _, at, counts, y = rows[k]
+            x = {j: float(np.float32(quality.GAIN * c / max(1, sum(counts)))) for j, c in zip(at, counts)} | {"bias": 1.0}
             w = {j: weight(j) for j in x}
             p = 1 / (1 + math.exp(-max(-35, min(35, sum(w[j] * v for j, v in x.items())))))
             for j, v in x.items():
