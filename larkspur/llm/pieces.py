@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textbytes as tb
-from larkspur.llm.storage import small_batches, written
+from larkspur.llm.storage import fresh_name, small_batches, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Texts of more characters than GIANT are split into chunks of CHUNK characters.
@@ -179,21 +179,32 @@ class Chunk:
         exact = self.last and stop == self.hi
         return [t for t in nodes if t[0] < stop <= t[1] and (t[1] == stop or not exact)]
 
+    def _onward(self, stop: int) -> tuple[list[tuple[int, int]], dict[tuple[int, int], int]]:
+        """The pieces over the left border, and for each piece up to ``stop`` which of them lead to it, as
+        bits: one pass for all."""
+        lefts = self.lefts()
+        nodes = _paths(self.v, self.text, lefts, self.lo, stop)
+        bits = {t: 1 << i for i, t in enumerate(lefts)}
+        for t in sorted(nodes):
+            for p in nodes[t]:
+                bits[t] = bits.get(t, 0) | bits[p]
+        return lefts, bits
+
     def matrix(self) -> Matrix:
         if self.head is None:
-            out: Matrix = {}
-            for t in self.lefts() or [None]:
-                nodes = _paths(self.v, self.text, [t] if t else [], self.lo, self.hi)
-                out[self._state(t, self.lo) if t else START] = frozenset(self._state(x, self.hi) for x in self._ends(nodes, self.hi))
-            return out
+            if self.first:
+                return {START: frozenset(self._state(x, self.hi) for x in self._ends(_paths(self.v, self.text, [], self.lo, self.hi), self.hi))}
+            lefts, bits = self._onward(self.hi)
+            ends = [(self._state(x, self.hi), bits[x]) for x in self._ends(bits, self.hi)]
+            return {self._state(t, self.lo): frozenset(s for s, b in ends if b >> i & 1) for i, t in enumerate(lefts)}
         right = frozenset(self._state(x, self.hi) for x in self._ends(_paths(self.v, self.text, [], self.tail, self.hi), self.hi))
         if self.first:
             return {START: right}
-        out = {}
-        for t in self.lefts():
-            nodes = _paths(self.v, self.text, [t], self.lo, self.head)
-            out[self._state(t, self.lo)] = right if any(x[1] == self.head for x in nodes) else frozenset()
-        return out
+        lefts, bits = self._onward(self.head)
+        there = 0
+        for x, b in bits.items():
+            there |= b if x[1] == self.head else 0
+        return {self._state(t, self.lo): right if there >> i & 1 else frozenset() for i, t in enumerate(lefts)}
 
     def _trace(self, first: list, begin: int, stop: int, end: tuple[int, int] | None) -> list[str]:
         nodes = _paths(self.v, self.text, first, begin, stop)
@@ -376,16 +387,18 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", model:
 
     small_batches(docs.sparkSession)
     long = F.coalesce(F.length(text_col), F.lit(0)) > giant
-    made = docs.where(~long).select(*keep, direct(F.col(text_col)).alias("__made"))
-    small = made.select(*keep, F.col("__made.ids").alias(ids_col), *([F.col("__made.same").alias(check_col)] if check_col else []))
-    giants = written(docs.where(long).select(F.expr("uuid()").alias("__key"), *keep), "piece-giants")
+    out = fresh_name(docs.columns, "__made")
+    made = docs.where(~long).select(*keep, direct(F.col(text_col)).alias(out))
+    small = made.select(*keep, F.col(f"{out}.ids").alias(ids_col), *([F.col(f"{out}.same").alias(check_col)] if check_col else []))
+    key, other, found, back, same = (fresh_name([*docs.columns, ids_col, check_col or ""], n) for n in ("__key", "__other", "__ids", "__decoded", "__same"))
+    giants = written(docs.where(long).select(F.expr("uuid()").alias(key), *keep), "piece-giants")
     if giants.isEmpty():
         return small
-    ids = _encode_giants(giants.select("__key", text_col), model, chunk)
-    large = giants.join(ids.withColumnRenamed("ids", "__ids"), F.col("__key") == F.col("key"))
+    ids = _encode_giants(giants.select(F.col(key).alias("key"), F.col(text_col).alias("text")), model, chunk)
+    large = giants.join(ids.select(F.col("key").alias(other), F.col("ids").alias(found)), F.col(key) == F.col(other))
     if check_col:
-        large = decode(large, "__ids", "__decoded", model).withColumn(check_col, came_back("__decoded", text_col))
-    return small.unionByName(large.select(*keep, F.col("__ids").alias(ids_col), *([check_col] if check_col else [])))
+        large = decode(large, found, back, model).withColumn(same, came_back(back, text_col))
+    return small.unionByName(large.select(*keep, F.col(found).alias(ids_col), *([F.col(same).alias(check_col)] if check_col else [])))
 
 
 def came_back(decoded: str = "decoded", text: str = "text") -> Column:
