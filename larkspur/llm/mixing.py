@@ -7,14 +7,17 @@ a document's calibrated probability is proportional to its cell's fitted over ob
 scaled so that the expected number of sampled tokens is a given share, none above 1. Sampling
 draws from a hash of the document's id and a seed: it is repeatable and needs no order.
 
-Topics are learned: spherical k-means over hashed words, weighted by their rarity, on a bounded
-sample; every whole text then goes to its nearest topic. Texts are read once for that and for
-their tokens.
+Topics are learned: spherical k-means over hashed words, weighted by their rarity, of every whole
+text, which then goes to its nearest topic. Texts are read once, for their tokens and for bags: two
+bytes a word. Every pass of the learning reads all bags where they are; sums of whole numbers leave a
+task, so the model depends neither on batches nor on partitions.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from larkspur.llm.storage import discard, fresh_name, small_batches, written
 DRIVER_CELLS = 100_000
 DIMENSIONS = ("source", "lang", "topic")
 TOLERANCE, MAX_ROUNDS = 1e-9, 500
-#: Topics: how many, slots of hashed words, and the sample that they are learned from: about so many
-#: documents by a hash of their ids and texts, of which the driver gets slots, not texts.
-TOPICS, TOPIC_SLOTS, TOPIC_SAMPLE, TOPIC_ROUNDS = 8, 1 << 13, 3000, 12
+#: Topics: how many, slots of hashed words, rounds of k-means at most, and the whole numbers that a
+#: text's unit vector is summed in.
+TOPICS, TOPIC_SLOTS, TOPIC_ROUNDS, UNIT = 8, 1 << 13, 12, 1 << 24
 
 
 @dataclass
@@ -56,6 +59,27 @@ def _slots(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - TOPIC_SLOTS.bit_length() + 1)).astype(np.int64)
 
 
+def _bag(words: np.ndarray) -> bytes:
+    """A text's words as their slots, sorted, each as often as it occurs."""
+    return np.sort(_slots(words).astype(np.uint16)).tobytes()
+
+
+def _entries(column: pa.Array):
+    """Of bags, some rows at a time: (rows that have words, the first entry of each, slots, counts)."""
+    offsets, data = tb.buffers(column)
+    for i, j in tb.groups(offsets):
+        words = data[offsets[i] : offsets[j]].view(np.uint16)
+        rows = np.flatnonzero(offsets[i + 1 : j + 1] > offsets[i:j])
+        if not len(rows):
+            continue
+        starts = (offsets[i + rows] - offsets[i]) // 2
+        new = np.ones(len(words), bool)
+        new[1:] = words[1:] != words[:-1]
+        new[starts] = True
+        at = np.flatnonzero(new)
+        yield i + rows, np.searchsorted(at, starts), words[at].astype(np.int64), np.diff(at, append=len(words))
+
+
 @dataclass
 class TopicModel:
     """Slot weights of every topic (TOPIC_SLOTS x topics, in whole units, so that sums do not depend on
@@ -66,56 +90,148 @@ class TopicModel:
     def assign(self, column: pa.Array) -> tuple[list[str | None], np.ndarray]:
         """(topics, words) of whole texts. Without words there is no topic. Words are runs without
         ASCII white space, A-Z lower-cased."""
-        topics, words = [], np.zeros(len(column), np.int64)
-        for i, h in enumerate(tb.each_words(column)):
-            words[i] = len(h)
-            topics.append(f"t{int(self.weights[_slots(h)].sum(0, dtype=np.int64).argmax())}" if len(h) else None)
-        return topics, words
+        found = list(tb.each_words(column))
+        return self.assign_bags(pa.array([_bag(h) for h in found], pa.binary())), np.array([len(h) for h in found], np.int64)
+
+    def assign_bags(self, column: pa.Array) -> list[str | None]:
+        """The topics of texts given as their bags."""
+        topics = np.full(len(column), -1)
+        for rows, first, at, n in _entries(column):
+            topics[rows] = np.add.reduceat(self.weights[at] * n[:, None], first).argmax(1)
+        return [f"t{t}" if t >= 0 else None for t in topics.tolist()]
+
+
+def _units(rarity: np.ndarray, first: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Texts of :func:`_entries` as unit vectors; one whose words are in every text stays zero."""
+    values = np.sqrt(n) * rarity[at]
+    norms = np.sqrt(np.add.reduceat(values * values, first))
+    return values / np.repeat(np.maximum(norms, 1e-12), np.diff(first, append=len(at)))
+
+
+def _nearness(centres: np.ndarray, units: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Cosines, texts x centres."""
+    return np.add.reduceat(centres[at] * units.astype(np.float32)[:, None], first)
+
+
+def _counts(columns: Iterable[pa.Array]) -> np.ndarray:
+    """One row: the texts that have each slot, then all texts with words."""
+    out = np.zeros((1, TOPIC_SLOTS + 1), np.int64)
+    for column in columns:
+        for rows, _, at, _ in _entries(column):
+            out[0, :-1] += np.bincount(at, minlength=TOPIC_SLOTS)
+            out[0, -1] += len(rows)
+    return out
+
+
+def _race(columns: Iterable[pa.Array], rarity: np.ndarray, centres: np.ndarray, seed: int) -> tuple[float, bytes] | None:
+    """The next seed, as k-means++ draws it: a text in proportion to its distance from the seeds so far.
+    Each text runs with that rate and a number drawn from its bag; the least time wins (equal bags run
+    alike). None: no text is apart from the seeds."""
+    best = None
+    for column in columns:
+        for rows, first, at, n in _entries(column):
+            units = _units(rarity, first, at, n)
+            far = (np.add.reduceat(units, first) > 0).astype(np.float64)
+            if centres.shape[1]:
+                far -= np.where(far > 0, _nearness(centres, units, first, at).max(1), 0)
+            drawn = np.add.reduceat(tb.mix((at * (1 << 40) + n).astype(np.uint64)), first) + np.uint64(1000 * seed + centres.shape[1])
+            times = np.full(len(rows), np.inf)
+            uniform = (tb.mix(drawn) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+            np.divide(-np.log1p(-uniform), far, out=times, where=far > 1e-5)
+            k = int(times.argmin())
+            if times[k] < np.inf and (best is None or times[k] <= best[0]):
+                least = [(float(times[k]), column[int(rows[i])].as_py()) for i in np.flatnonzero(times == times[k])]
+                best = min([*least, *([best] if best else [])])
+    return best
+
+
+def _sums(columns: Iterable[pa.Array], rarity: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Topics x slots: the sums of the unit vectors of the texts that are nearest to each centre."""
+    topics = centres.shape[1]
+    out = np.zeros(topics * TOPIC_SLOTS, np.int64)
+    for column in columns:
+        for _, first, at, n in _entries(column):
+            units = _units(rarity, first, at, n)
+            owner = _nearness(centres, units, first, at).argmax(1)
+            place = np.repeat(owner * TOPIC_SLOTS, np.diff(first, append=len(at))) + at
+            out += np.bincount(place, np.rint(units * UNIT), len(out)).astype(np.int64)
+    return out.reshape(topics, TOPIC_SLOTS)
 
 
-def learn_topics(rows: list[np.ndarray], seed: int = 10) -> TopicModel:
-    """Spherical k-means over texts given as their words' slots; the order of rows does not matter."""
-    rows = sorted((r for r in rows if len(r)), key=lambda r: (len(r), r.tobytes()))
-    if not rows:
+@dataclass
+class _Here:
+    """Bags in memory."""
+
+    bags: pa.Array
+
+    def total(self, part: Callable) -> np.ndarray | None:
+        return part([self.bags])
+
+    least = total
+
+
+@dataclass
+class _Apart:
+    """Bags as a table of one column: what the parts find is combined by row, or the least taken."""
+
+    bags: DataFrame
+
+    def total(self, part: Callable) -> np.ndarray | None:
+        def found(batches):
+            rows = part(b.column(0) for b in batches)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["row", "sums"])
+
+        def added(table: pa.Table) -> pa.Table:
+            sums = sum(np.frombuffer(v.as_buffer(), np.int64) for v in table.column("sums"))
+            return pa.table({"row": table.column("row")[:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+
+        kind = "row int, sums binary"
+        rows = self.bags.mapInArrow(found, kind).groupBy("row").applyInArrow(added, kind).collect()
+        return np.stack([np.frombuffer(r["sums"], np.int64) for r in sorted(rows, key=lambda r: r["row"])]) if rows else None
+
+    def least(self, part: Callable) -> tuple[float, bytes] | None:
+        def found(batches):
+            best = part(b.column(0) for b in batches)
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array([best[0]], pa.float64()), pa.array([best[1]], pa.binary())], names=["time", "bag"])
+
+        rows = self.bags.mapInArrow(found, "time double, bag binary").orderBy("time", "bag").limit(1).collect()
+        return (rows[0]["time"], bytes(rows[0]["bag"])) if rows else None
+
+
+def _learned(bags: _Here | _Apart, seed: int) -> TopicModel:
+    """Spherical k-means from k-means++ seeds, over all bags in every pass."""
+    counts = bags.total(_counts)
+    centres = np.zeros((TOPIC_SLOTS, 0), np.float32)
+    rarity = np.zeros(TOPIC_SLOTS) if counts is None else np.log((counts[0, -1] + 1) / (counts[0, :-1] + 1.0)) ** 2
+    while centres.shape[1] < TOPICS and rarity.any():
+        found = bags.least(partial(_race, rarity=rarity, centres=centres, seed=seed))
+        if found is None:  # fewer directions than topics
+            break
+        at, n = np.unique(np.frombuffer(found[1], np.uint16), return_counts=True)
+        centre = np.zeros(TOPIC_SLOTS, np.float32)
+        centre[at] = _units(rarity, np.zeros(1, np.int64), at, n)
+        centres = np.column_stack([centres, centre])
+    if not centres.shape[1]:
         return TopicModel(np.zeros((TOPIC_SLOTS, 1), np.int32))
-    seen = [np.unique(r, return_counts=True) for r in rows]
-    in_texts = np.bincount(np.concatenate([at for at, _ in seen]), minlength=TOPIC_SLOTS)
-    rarity = np.log((len(rows) + 1) / (in_texts + 1.0)) ** 2
-    values = [np.sqrt(n) * rarity[at] for at, n in seen]
-    values = [v / max(np.sqrt((v * v).sum()), 1e-12) for v in values]
-    x = np.zeros((len(rows), TOPIC_SLOTS), np.float32)
-    for i, ((at, _), v) in enumerate(zip(seen, values, strict=True)):
-        x[i, at] = v
-    rng = np.random.default_rng(seed)
-    centres = x[rng.permutation(len(rows))[:TOPICS]].copy()
     for _ in range(TOPIC_ROUNDS):
-        owner = (x @ centres.T).argmax(1)
-        for t in range(len(centres)):
-            if (owner == t).any():
-                total = x[owner == t].sum(0)
-                centres[t] = total / max(float(np.sqrt((total * total).sum())), 1e-12)
-    return TopicModel(np.rint((centres * rarity).T * 4096).astype(np.int32))
-
-
-def topic_sample(docs: DataFrame, id_col: str, text_col: str) -> list[np.ndarray]:
-    """Slots of the words of about TOPIC_SAMPLE texts."""
-    total = docs.count()
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 30))
-    picked = docs.where(draw < F.lit(int((1 << 30) * min(1.0, TOPIC_SAMPLE / max(1, total))))).select(F.col(text_col).cast("string").alias("text"))
-
-    def slots(batches):
-        for b in batches:
-            # distinct slots with counts bound what a text sends: a slot more than 4 times says no more
-            found = []
-            for h in tb.each_words(b.column(0)):
-                at, n = np.unique(_slots(h), return_counts=True)
-                found.append(np.repeat(at, np.minimum(n, 4)).astype(np.int16).tobytes())
-            tb.release()
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], names=["slots"])
-
-    # repeats of a row are drawn together; learned from once
-    rows = picked.mapInArrow(slots, "slots binary").distinct().limit(TOPIC_SAMPLE + 1000).collect()
-    return [np.frombuffer(r["slots"], np.int16).astype(np.int64) for r in rows]
+        sums = bags.total(partial(_sums, rarity=rarity, centres=centres)).T.astype(np.float64)
+        norms = np.sqrt((sums * sums).sum(0))
+        moved = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres).astype(np.float32)
+        if (moved == centres).all():  # further rounds change nothing
+            break
+        centres = moved
+    return TopicModel(np.rint(centres * rarity[:, None] * 4096).astype(np.int32))
+
+
+def learn_topics(rows: list[np.ndarray], seed: int = 10) -> TopicModel:
+    """Topics of texts given as their words' slots; the order of rows does not matter."""
+    return _learned(_Here(pa.array([np.sort(r.astype(np.uint16)).tobytes() for r in rows], pa.binary())), seed)
+
+
+def learn_topics_of(bags: DataFrame, seed: int = 10) -> TopicModel:
+    """As :func:`learn_topics`, of every row of a table of one column of bags."""
+    return _learned(_Apart(bags), seed)
 
 
 def _scaled(goal: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -175,20 +291,35 @@ def calibrated(observed: np.ndarray, fitted: np.ndarray, share: float) -> np.nda
     return np.minimum(1.0, c * ratio)
 
 
-def with_cells(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic_col: str | None, model: TopicModel | None, names: dict[str, str]) -> DataFrame:
-    """Add the columns of DIMENSIONS and the tokens under the given names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or TopicModel(np.zeros((TOPIC_SLOTS, 1), np.int32)))  # TOPIC_SLOTS x TOPICS
+def with_bags(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic_col: str | None, names: dict[str, str]) -> DataFrame:
+    """Add the source, the language, the tokens and the bag under the given names; with a column of
+    topics that one instead of the bag."""
+    bags = topic_col is None
 
-    @F.arrow_udf("struct<topic:string, words:bigint>")
+    @F.arrow_udf("struct<bag:binary, words:bigint>")
     def made(column: pa.Array) -> pa.Array:
-        topics, words = shared.value.assign(column)
+        found, words = [], []
+        for h in tb.each_words(column):
+            found.append(_bag(h) if bags else None)
+            words.append(len(h))
         tb.release()
-        return pa.StructArray.from_arrays([pa.array(topics, pa.string()), pa.array(words, pa.int64())], ["topic", "words"])
+        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(words, pa.int64())], ["bag", "words"])
 
     small_batches(docs.sparkSession)
     seen = docs.withColumn(names["made"], made(F.col(text_col).cast("string")))
-    topic = F.col(topic_col).cast("string") if topic_col else F.col(f"{names['made']}.topic")
-    return seen.withColumns({names["source"]: F.col(source_col).cast("string"), names["lang"]: F.col(lang_col).cast("string"), names["topic"]: topic, names["tokens"]: F.col(f"{names['made']}.words")}).drop(names["made"])
+    last = {names["bag"]: F.col(f"{names['made']}.bag")} if bags else {names["topic"]: F.col(topic_col).cast("string")}
+    return seen.withColumns({names["source"]: F.col(source_col).cast("string"), names["lang"]: F.col(lang_col).cast("string"), names["tokens"]: F.col(f"{names['made']}.words"), **last}).drop(names["made"])
+
+
+def with_topics(bagged: DataFrame, model: TopicModel, names: dict[str, str]) -> DataFrame:
+    """The topic of every bag, in its place."""
+    shared = bagged.sparkSession.sparkContext.broadcast(model)  # TOPIC_SLOTS x TOPICS
+
+    @F.arrow_udf("string")
+    def topic(column: pa.Array) -> pa.Array:
+        return pa.array(shared.value.assign_bags(column), pa.string())
+
+    return bagged.withColumn(names["topic"], topic(F.col(names["bag"]))).drop(names["bag"])
 
 
 def _fitted_here(cells: list, targets: MixTargets) -> list[tuple]:
@@ -289,13 +420,14 @@ def mix(docs: DataFrame, targets: MixTargets | None = None, id_col: str = "doc_i
     results = {n: prefix + n for n in RESULTS}
     if clash := {c.lower() for c in keep} & {r.lower() for r in results.values()}:
         raise ValueError(f"columns of these names are there already: {sorted(clash)}")
-    names = {n: fresh_name([*docs.columns, *results.values()], f"__mix_{n}") for n in (*DIMENSIONS, "tokens", "made", "id", "weight", "p", *(f"cell_{d}" for d in DIMENSIONS))}
+    names = {n: fresh_name([*docs.columns, *results.values()], f"__mix_{n}") for n in (*DIMENSIONS, "tokens", "made", "bag", "id", "weight", "p", *(f"cell_{d}" for d in DIMENSIONS))}
     small_batches(spark)
-    model = None if topic_col else learn_topics(topic_sample(docs, id_col, text_col))
-    celled = with_cells(docs.withColumn(names["id"], F.col(id_col)), text_col, source_col, lang_col, topic_col, model, names)
+    celled = with_bags(docs.withColumn(names["id"], F.col(id_col)), text_col, source_col, lang_col, topic_col, names)
     kept = [F.col(f"`{c}`") for c in keep]
     # written once: whole texts go to Python a single time
-    celled = written(celled.select(*kept, *[F.col(names[n]) for n in ("id", *DIMENSIONS, "tokens")]), "mix-celled")
+    celled = written(celled.select(*kept, *[F.col(names[n]) for n in ("id", "source", "lang", "tokens", "topic" if topic_col else "bag")]), "mix-bags")
+    if not topic_col:
+        celled = with_topics(celled, learn_topics_of(celled.select(names["bag"])), names)
     cells = written(celled.groupBy(*[F.col(names[d]).alias(d) for d in DIMENSIONS]).agg(F.sum(names["tokens"]).alias("n")), "mix-observed")
     count = cells.count()
     if count:  # an empty table has no values to check

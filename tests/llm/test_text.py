@@ -453,3 +453,18 @@ def test_languages_have_no_cap(spark, monkeypatch):
     assert len(langid.training_counts(docs, "doc_id", "text", "lang")) == 300
     got = langid.identify(docs.where("doc_id < 300"), docs.where("doc_id >= 300")).collect()
     assert sum(x.lang_pred == names[x.doc_id] for x in got) > 290
+
+
+def test_topics_of_every_text(spark):
+    """Topics are learned from all texts and all their words, as in memory, whatever the partitions."""
+    r = random.Random(11)
+    groups = [[f"{g}{k}" for k in range(300)] for g in "abcdefghijkl"]
+    texts = [" ".join(r.choice(groups[min(11, int(r.expovariate(0.5)))]) for _ in range(6)) + " the" * r.randrange(9) for _ in range(9000)]
+    texts += ["", None, "bell " * 70_000 + "book", *texts[:50]]
+    model = mixing.learn_topics([mixing._slots(h) for h in tb.each_words(pa.array(texts))])
+    expected, words = model.assign(pa.array(texts))
+    assert len(set(expected)) == mixing.TOPICS + 1
+    docs = docs_of(spark, list(enumerate(texts)))
+    for parts in (1, 7):
+        got = mixing.mix(docs.repartition(parts)).collect()
+        assert {x.doc_id: (x["__topic"], x["__tokens"]) for x in got} == dict(enumerate(zip(expected, words.tolist())))
