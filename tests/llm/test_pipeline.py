@@ -1,9 +1,12 @@
+import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from larkspur.llm import ngram_join, pieces
+from larkspur.llm import mixing, ngram_join, pieces
+from larkspur.llm import textbytes as tb
 
 SF = Path("/root/testdata/sf0.01")
 
@@ -59,3 +62,16 @@ def test_empty_documents(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, f"file://{tmp_path}").count() == 0, name
     assert ngram_join.ngram_components(docs).count() == 0
+
+
+def test_mixing_stage_learns_from_every_text(spark):
+    """What the stage keeps follows from topics that were learned in memory from all of its texts."""
+    r = random.Random(5)
+    groups = [[f"{g}{k}" for k in range(300)] for g in "abcdefghijkl"]
+    texts = [" ".join(r.choice(groups[min(11, int(r.expovariate(0.5)))]) for _ in range(6)) + " the" * r.randrange(9) for _ in range(9000)]
+    topics, _ = mixing.learn_topics([mixing._slots(h) for h in tb.each_words(pa.array(texts))]).assign(pa.array(texts))
+    docs = spark.createDataFrame([(i, t, ["en", "de"][i % 3 % 2], f"s{i % 4}", topics[i]) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, topic string")
+    stage = dict(corpus_pipeline.STAGES)["mixing"]
+    got = {x.doc_id for x in stage(spark, docs.drop("topic"), "").collect()}
+    targets = mixing.MixTargets(temper={"source": 0.5, "lang": 0.7, "topic": 0.8}, keep_share=0.8)
+    assert got == {x.doc_id for x in mixing.mix(docs, targets, topic_col="topic").where("__kept").collect()}
