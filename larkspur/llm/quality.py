@@ -4,6 +4,10 @@ Tokens are runs of letters or digits and runs of other visible bytes, so marks g
 count on their own. Features are hashed 1- and 2-grams of tokens (a token repeated at once also
 counts as a repeat), with frequencies normalised by the text's length: a score is one sparse
 dot product per text. Weights are stored as integers, so scores do not depend on batching.
+
+Every labelled text is learned from. Few are on the driver; more are dealt by their ids to shards,
+each of which is learned where it is, and a weight is the mean of its shards', by the squared
+gradients that it rests on there: one that a single shard has seen is that shard's.
 """
 
 from __future__ import annotations
@@ -18,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import textbytes as tb
-from larkspur.llm.storage import small_batches
+from larkspur.llm.storage import BitFilter, discard, small_batches, written
 
 SLOTS = 1 << 18
-#: The training sample: ids drawn from the labels (about so many; those without a document drop
-#: out), texts of any length. The driver gets their features, not texts: at most SLOTS a document.
-SAMPLE_DOCS = 9600
-#: FTRL-proximal: learning rate, its smoothing, L1, L2; passes over the sample.
+#: A shard of the labelled texts: about so many, and so many bytes of their compressed features, on
+#: average. A single one is learned on the driver. Their number follows from the rows alone.
+SHARD_DOCS, SHARD_BYTES = 9600, 64 << 20
+#: FTRL-proximal: learning rate, its smoothing, L1, L2; passes over a shard.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 1e-4, 1e-4, 4
 GAIN = 16.0  # frequencies are multiplied by this
 UNIT = float(1 << 20)
@@ -102,23 +106,31 @@ class QualityModel:
 
 
 def packed(column: pa.Array):
-    """Yield (key, features) of every row: distinct slots with their counts, compressed, and a digest of
-    them that orders rows in any place."""
+    """Yield (key, features) of every row: distinct slots (as their differences) and their counts, byte by
+    byte and compressed, and a digest of them that orders rows in any place."""
     for slots in each_features(column):
         at, count = np.unique(slots, return_counts=True)
-        raw = np.stack([at, count]).astype(np.int32).tobytes()
-        yield hashlib.md5(raw, usedforsecurity=False).digest(), zlib.compress(raw, 1)
+        key = hashlib.md5(np.stack([at, count]).astype(np.int32).tobytes(), usedforsecurity=False).digest()
+        planes = np.stack([np.diff(at, prepend=0), count]).astype(np.int32).view(np.uint8).reshape(-1, 4).T
+        yield key, zlib.compress(planes.tobytes(), 1)
 
 
-def fit_packed(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityModel:
-    """FTRL-proximal over (key, features, label 0 or 1) rows of :func:`packed`, in a fixed shuffled order."""
+def _unpacked(features: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Slots and counts of :func:`packed`."""
+    planes = np.frombuffer(zlib.decompress(features), np.uint8).reshape(4, -1)
+    steps, count = np.ascontiguousarray(planes.T).view(np.int32).reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), count
+
+
+def _descended(rows: list[tuple[bytes, bytes, int]], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, sums of squared gradients) of the slots and the bias, after all passes over the rows."""
     rows = sorted(rows)
-    z, n, w = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
+    z, n = np.zeros(SLOTS + 1), np.zeros(SLOTS + 1)
     rng = np.random.default_rng(seed)
     for _ in range(PASSES):
         for k in rng.permutation(len(rows)):
             _, features, label = rows[k]
-            slots, count = np.frombuffer(zlib.decompress(features), np.int32).reshape(2, -1)
+            slots, count = _unpacked(features)
             at = np.append(slots, np.int32(SLOTS))
             x = np.append(GAIN * count / max(1, int(count.sum())), 1.0).astype(np.float32)
             zi, ni = z[at], n[at]
@@ -127,7 +139,12 @@ def fit_packed(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityMo
             g = (p - label) * x
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / ALPHA * wi
             n[at] = ni + g * g
-    w = np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)), n
+
+
+def fit_packed(rows: list[tuple[bytes, bytes, int]], seed: int = 6) -> QualityModel:
+    """FTRL-proximal over (key, features, label 0 or 1) rows of :func:`packed`, in a fixed shuffled order."""
+    w, _ = _descended(rows, seed)
     return QualityModel(np.rint(w[:SLOTS] * UNIT).astype(np.int64), float(w[SLOTS]))
 
 
@@ -136,21 +153,56 @@ def fit(rows: list[tuple[str, int]], seed: int = 6) -> QualityModel:
     return fit_packed([(*c, label) for c, (_, label) in zip(packed(pa.array([t for t, _ in rows], pa.string())), rows, strict=True)], seed)
 
 
-def training_sample(train: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[bytes, bytes, int]]:
-    """(key, features, label) of the rows labelled 0 or 1, counted where the texts are. Of rows with an
-    equal id the one with the largest key counts."""
-    small_batches(train.sparkSession)
-    rows = train.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label"), F.col(id_col).cast("string").alias("id")).where("label in (0, 1)")
+def fit_shards(rows: DataFrame, shards: int, seed: int = 6) -> QualityModel:
+    """As :func:`fit_packed`, of every shard of the rows of :func:`training_rows`, in its place, and the
+    means of their weights. Sums of whole numbers are combined, so the order of shards does not matter."""
+
+    def fitted(table: pa.Table) -> pa.Table:
+        w, n = _descended(list(zip(*(table.column(c).to_pylist() for c in ("key", "features", "label")), strict=True)), seed)
+        at = np.flatnonzero(n)
+        value, evidence = np.rint(w[at] * UNIT).astype(np.int64), np.maximum(1, np.rint(n[at] * UNIT)).astype(np.int64)
+        return pa.table({"slot": pa.array(at, pa.int32()), "value": pa.array(value), "evidence": pa.array(evidence)})
+
+    shard = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards))
+    states = rows.select(shard.alias("shard"), "key", "features", "label").groupBy("shard").applyInArrow(fitted, "slot int, value bigint, evidence bigint")
+    wide = F.col("evidence").cast("decimal(18,0)")
+    sums = states.groupBy("slot").agg(F.sum(F.col("value").cast("decimal(18,0)") * wide).cast("double").alias("value"), F.sum(wide).cast("double").alias("evidence"))
+    found = sums.toArrow()  # a row per slot at most
+    weights = np.zeros(SLOTS + 1, np.int64)
+    weights[found["slot"].to_numpy()] = np.rint(found["value"].to_numpy() / found["evidence"].to_numpy())
+    return QualityModel(weights[:SLOTS], int(weights[SLOTS]) / UNIT)
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, key, features, label) of every document labelled 0 or 1, counted where the texts are: only
+    features are shuffled. Of rows with an equal id the one with the largest key counts, of several
+    labels the largest."""
+    small_batches(docs.sparkSession)
+    same = F.col(id_col).cast(docs.select(id_col).schema[0].dataType).cast("string")
+    known = labels.where(F.col(label_col).isNotNull()).select(same.alias("known"), F.col(label_col).alias("label")).where("known is not null")
+    known = written(known.groupBy("known").agg(F.max("label").cast("int").alias("label")).where("label in (0, 1)"), "quality-labels")
+    texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("string").alias("id")).where("id is not null")
 
     def count(batches):
         for b in batches:
             found = list(zip(*packed(b.column(0)), strict=True)) or [(), ()]
             tb.release()
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in found), b.column(1), b.column(2)], names=["key", "features", "label", "id"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in found), b.column(1)], names=["key", "features", "id"])
+
+    maybe = BitFilter.of(known, "known", "quality-filter").maybe(texts, F.col("id")).select("text", "id")
+    found = maybe.mapInArrow(count, "key binary, features binary, id string")
+    one = found.groupBy("id").agg(F.max(F.struct("key", "features")).alias("row"))
+    # by ids on both sides, as the groups are: labels of any number are not broadcast
+    return one.join(known.hint("merge"), F.col("id") == F.col("known")).select("id", "row.key", "row.features", "label")
+
 
-    found = rows.mapInArrow(count, "key binary, features binary, label int, id string")
-    one = found.groupBy("id").agg(F.max(F.struct("key", "label", "features")).alias("row"))  # a row for each drawn label at most
-    return [(bytes(r["key"]), bytes(r["features"]), r["label"]) for r in one.select("row.*").collect()]
+def _here(rows: DataFrame) -> list[tuple[bytes, bytes, int]]:
+    return [(bytes(r["key"]), bytes(r["features"]), r["label"]) for r in rows.collect()]
+
+
+def training_sample(train: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[bytes, bytes, int]]:
+    """(key, features, label) of :func:`training_rows`, all of them, of documents with a label column."""
+    return _here(training_rows(train, train, id_col, text_col, label_col))
 
 
 def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
@@ -173,14 +225,11 @@ def scored(docs: DataFrame, model: QualityModel, text_col: str = "text") -> Data
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """Fit on labelled documents; a document with several labels counts once with the largest, and so
-    do documents with the same id.
-
-    The sample's ids are picked from the labels, once, so that texts are read for them alone.
-    """
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    total = known.count()
-    draw = F.pmod(F.xxhash64("__id", F.lit(6)), F.lit(1 << 30))
-    known = known.where(draw < F.lit(int((1 << 30) * min(1.0, SAMPLE_DOCS / max(1, total)))))
-    picked = docs.select(F.col(id_col), F.col(text_col).alias("__text")).join(F.broadcast(known), F.col(id_col) == F.col("__id"))  # about SAMPLE_DOCS labels
-    return fit_packed(training_sample(picked, "__id", "__text", "__label"))
+    """Fit on every labelled document; a document with several labels counts once with the largest, and so
+    do documents with the same id."""
+    rows = written(training_rows(docs, labels, id_col, text_col, label_col), "quality-rows")
+    count, size = rows.agg(F.count("*"), F.sum(F.length("features"))).first()
+    shards = max(-(-count // SHARD_DOCS), -(-(size or 0) // SHARD_BYTES))
+    model = fit_packed(_here(rows)) if shards <= 1 else fit_shards(rows, shards)
+    discard(rows)
+    return model

@@ -75,3 +75,11 @@ def test_mixing_stage_learns_from_every_text(spark):
     got = {x.doc_id for x in stage(spark, docs.drop("topic"), "").collect()}
     targets = mixing.MixTargets(temper={"source": 0.5, "lang": 0.7, "topic": 0.8}, keep_share=0.8)
     assert got == {x.doc_id for x in mixing.mix(docs, targets, topic_col="topic").where("__kept").collect()}
+
+
+def test_quality_stage_learns_from_every_label(spark, tmp_path):
+    """What a single labelled document shows takes effect, however many labels there are."""
+    docs = spark.createDataFrame([(i, f"a{i} b{i}", "en", "s", 0) for i in range(15_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality", "0 as toxic").write.parquet(f"file://{tmp_path}/labels.parquet")
+    kept = {x.doc_id for x in dict(corpus_pipeline.STAGES)["quality"](spark, docs, f"file://{tmp_path}").collect()}
+    assert sum((i in kept) == i % 2 for i in range(15_000)) > 0.97 * 15_000

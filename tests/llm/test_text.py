@@ -468,3 +468,25 @@ def test_topics_of_every_text(spark):
     for parts in (1, 7):
         got = mixing.mix(docs.repartition(parts)).collect()
         assert {x.doc_id: (x["__topic"], x["__tokens"]) for x in got} == dict(enumerate(zip(expected, words.tolist())))
+
+
+def test_quality_of_every_label(spark, monkeypatch):
+    """Every labelled text is learned from, by shards whose weights do not depend on partitions."""
+    texts = [(i, f"a{i} b{i}") for i in range(15_000)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id long, quality int")
+    predicted = quality.train_on(docs, labels).scores(pa.array([t for _, t in texts])) >= quality.THRESHOLD
+    assert (predicted == np.arange(15_000) % 2).mean() > 0.97
+
+    monkeypatch.setattr(quality, "SHARD_DOCS", 60)
+    few = [*texts[:100], *((i, "both words " * (i % 7) + f"c{i % 5}") for i in range(100, 300)), (300, ""), (301, None)]
+    docs = docs_of(spark, few)
+    shards = dict(docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(6)), F.lit(6))).collect())
+    total, evidence = np.zeros(quality.SLOTS + 1), np.zeros(quality.SLOTS + 1)
+    for shard in set(shards.values()):
+        mine = [(i, t) for i, t in few if shards[i] == shard]
+        w, n = quality._descended([(*c, i % 2) for c, (i, _) in zip(quality.packed(pa.array([t for _, t in mine])), mine)], 6)
+        total, evidence = total + w * n, evidence + n
+    expected = np.divide(total, evidence, out=np.zeros_like(total), where=evidence > 0)
+    models = [quality.train_on(docs.repartition(parts), labels) for parts in (1, 7)]
+    assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+    assert np.allclose(models[0].weights / quality.UNIT, expected[:-1], atol=1e-5) and models[0].bias == pytest.approx(expected[-1], abs=1e-5)
