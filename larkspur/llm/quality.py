@@ -163,8 +163,9 @@ def fit_shards(rows: DataFrame, shards: int, seed: int = 6) -> QualityModel:
         value, evidence = np.rint(w[at] * UNIT).astype(np.int64), np.maximum(1, np.rint(n[at] * UNIT)).astype(np.int64)
         return pa.table({"slot": pa.array(at, pa.int32()), "value": pa.array(value), "evidence": pa.array(evidence)})
 
-    shard = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards))
-    states = rows.select(shard.alias("shard"), "key", "features", "label").groupBy("shard").applyInArrow(fitted, "slot int, value bigint, evidence bigint")
+    shard = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(shards)).cast("int")
+    dealt = rows.select(shard.alias("shard"), "key", "features", "label").repartitionById(shards, F.col("shard"))  # a task each
+    states = dealt.groupBy("shard").applyInArrow(fitted, "slot int, value bigint, evidence bigint")
     wide = F.col("evidence").cast("decimal(18,0)")
     sums = states.groupBy("slot").agg(F.sum(F.col("value").cast("decimal(18,0)") * wide).cast("double").alias("value"), F.sum(wide).cast("double").alias("evidence"))
     found = sums.toArrow()  # a row per slot at most
