@@ -8,9 +8,9 @@ scaled so that the expected number of sampled tokens is a given share, none abov
 draws from a hash of the document's id and a seed: it is repeatable and needs no order.
 
 Topics are learned: spherical k-means over hashed words, weighted by their rarity, of every whole
-text, which then goes to its nearest topic. Texts are read once, for their tokens and for bags: two
-bytes a word. Every pass of the learning reads all bags where they are; sums of whole numbers leave a
-task, so the model depends neither on batches nor on partitions.
+text, which then goes to its nearest topic. Texts are read once, for their tokens and for bags: four
+bytes a distinct word. Every pass of the learning reads all bags where they are; sums of whole numbers
+leave a task, so the model depends neither on batches nor on partitions.
 """
 
 from __future__ import annotations
@@ -35,6 +35,10 @@ TOLERANCE, MAX_ROUNDS = 1e-9, 500
 #: Topics: how many, slots of hashed words, rounds of k-means at most, and the whole numbers that a
 #: text's unit vector is summed in.
 TOPICS, TOPIC_SLOTS, TOPIC_ROUNDS, UNIT = 8, 1 << 13, 12, 1 << 24
+#: An entry of a bag is a slot and, in its lower bits, a count; a greater count takes several entries.
+SLOT_BITS = TOPIC_SLOTS.bit_length() - 1
+COUNT_BITS = 32 - SLOT_BITS
+COUNT_MOST = (1 << COUNT_BITS) - 1
 
 
 @dataclass
@@ -56,33 +60,55 @@ class MixTargets:
 
 
 def _slots(words: np.ndarray) -> np.ndarray:
-    return (words >> np.uint64(64 - TOPIC_SLOTS.bit_length() + 1)).astype(np.int64)
-
-
-def _bag(words: np.ndarray) -> bytes:
-    """A text's words as their slots, sorted, each as often as it occurs."""
-    return np.sort(_slots(words).astype(np.uint16)).tobytes()
+    return (words >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _bags(texts: list[np.ndarray]) -> pa.Array:
+    """Of texts given as their words' slots: each slot once, in order, with its count."""
+    keys = np.repeat(np.arange(len(texts)) << SLOT_BITS, [len(t) for t in texts])
+    keys |= np.concatenate([np.zeros(0, np.int64), *texts])
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    keys, n = keys[at], np.diff(at, append=len(keys))
+    parts = -(-n // COUNT_MOST)
+    if parts.max(initial=0) > 1:
+        last, rest = np.cumsum(parts) - 1, n - (parts - 1) * COUNT_MOST
+        keys, n = np.repeat(keys, parts), np.full(parts.sum(), COUNT_MOST)
+        n[last] = rest
+    entries = ((keys & (TOPIC_SLOTS - 1)) << COUNT_BITS | n).astype(np.uint32)
+    offsets = (4 * np.searchsorted(keys, np.arange(len(texts) + 1) << SLOT_BITS)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
 
 
 def _entries(column: pa.Array):
     """Of bags, some rows at a time: (rows that have words, the first entry of each, slots, counts)."""
     offsets, data = tb.buffers(column)
     for i, j in tb.groups(offsets):
-        words = data[offsets[i] : offsets[j]].view(np.uint16)
         rows = np.flatnonzero(offsets[i + 1 : j + 1] > offsets[i:j])
         if not len(rows):
             continue
-        starts = (offsets[i + rows] - offsets[i]) // 2
-        new = np.ones(len(words), bool)
-        new[1:] = words[1:] != words[:-1]
-        new[starts] = True
-        at = np.flatnonzero(new)
-        yield i + rows, np.searchsorted(at, starts), words[at].astype(np.int64), np.diff(at, append=len(words))
+        entries = data[offsets[i] : offsets[j]].view(np.uint32)
+        first = (offsets[i + rows] - offsets[i]) // 4
+        at, n = (entries >> COUNT_BITS).astype(np.int64), (entries & COUNT_MOST).astype(np.int64)
+        if n.max() == COUNT_MOST:  # entries of one slot become one
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] != at[:-1]
+            new[first] = True
+            whole = np.flatnonzero(new)
+            at, n, first = at[whole], np.add.reduceat(n, whole), np.searchsorted(whole, first)
+        yield i + rows, first, at, n
+
+
+def _picked(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A slot's value per entry. All slots are there; numpy is quicker if it need not report others."""
+    return table.take(at, mode="wrap")
 
 
 @dataclass
 class TopicModel:
-    """Slot weights of every topic (TOPIC_SLOTS x topics, in whole units, so that sums do not depend on
+    """Slot weights of every topic (topics x TOPIC_SLOTS, in whole units, so that sums do not depend on
     batches). A text's topic has the largest sum over its words; the first of equals."""
 
     weights: np.ndarray
@@ -91,26 +117,27 @@ class TopicModel:
         """(topics, words) of whole texts. Without words there is no topic. Words are runs without
         ASCII white space, A-Z lower-cased."""
         found = list(tb.each_words(column))
-        return self.assign_bags(pa.array([_bag(h) for h in found], pa.binary())), np.array([len(h) for h in found], np.int64)
+        return self.assign_bags(_bags([_slots(h) for h in found])), np.array([len(h) for h in found], np.int64)
 
     def assign_bags(self, column: pa.Array) -> list[str | None]:
         """The topics of texts given as their bags."""
         topics = np.full(len(column), -1)
         for rows, first, at, n in _entries(column):
-            topics[rows] = np.add.reduceat(self.weights[at] * n[:, None], first).argmax(1)
+            topics[rows] = np.stack([np.add.reduceat(_picked(w, at) * n, first) for w in self.weights]).argmax(0)
         return [f"t{t}" if t >= 0 else None for t in topics.tolist()]
 
 
 def _units(rarity: np.ndarray, first: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Texts of :func:`_entries` as unit vectors; one whose words are in every text stays zero."""
-    values = np.sqrt(n) * rarity[at]
+    values = np.sqrt(n) * _picked(rarity, at)
     norms = np.sqrt(np.add.reduceat(values * values, first))
     return values / np.repeat(np.maximum(norms, 1e-12), np.diff(first, append=len(at)))
 
 
 def _nearness(centres: np.ndarray, units: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Cosines, texts x centres."""
-    return np.add.reduceat(centres[at] * units.astype(np.float32)[:, None], first)
+    """Cosines, centres x texts. A centre's slots fit into the fastest cache, so one goes after the other."""
+    units = units.astype(np.float32)
+    return np.stack([np.add.reduceat(_picked(c, at) * units, first) for c in centres])
 
 
 def _counts(columns: Iterable[pa.Array]) -> np.ndarray:
@@ -126,18 +153,26 @@ def _counts(columns: Iterable[pa.Array]) -> np.ndarray:
 def _race(columns: Iterable[pa.Array], rarity: np.ndarray, centres: np.ndarray, seed: int) -> tuple[float, bytes] | None:
     """The next seed, as k-means++ draws it: a text in proportion to its distance from the seeds so far.
     Each text runs with that rate and a number drawn from its bag; the least time wins (equal bags run
-    alike). None: no text is apart from the seeds."""
+    alike). None: no text is apart from the seeds. No rate is above 1, so the distance is found only
+    of texts that would not be late at that rate."""
     best = None
     for column in columns:
         for rows, first, at, n in _entries(column):
+            drawn = np.add.reduceat(tb.mix((at * (1 << 40) + n).astype(np.uint64)), first) + np.uint64(1000 * seed + len(centres))
+            times = -np.log1p(-((tb.mix(drawn) >> np.uint64(11)).astype(np.float64) / float(1 << 53)))
+            if best is not None:
+                early = times <= best[0]
+                if not early.any():
+                    continue
+                long = np.diff(first, append=len(at))
+                these = np.repeat(early, long)
+                rows, times, at, n = rows[early], times[early], at[these], n[these]
+                first = np.cumsum(long[early]) - long[early]
             units = _units(rarity, first, at, n)
             far = (np.add.reduceat(units, first) > 0).astype(np.float64)
-            if centres.shape[1]:
-                far -= np.where(far > 0, _nearness(centres, units, first, at).max(1), 0)
-            drawn = np.add.reduceat(tb.mix((at * (1 << 40) + n).astype(np.uint64)), first) + np.uint64(1000 * seed + centres.shape[1])
-            times = np.full(len(rows), np.inf)
-            uniform = (tb.mix(drawn) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
-            np.divide(-np.log1p(-uniform), far, out=times, where=far > 1e-5)
+            if len(centres):
+                far -= np.where(far > 0, _nearness(centres, units, first, at).max(0), 0)
+            times = np.divide(times, far, out=np.full(len(rows), np.inf), where=far > 1e-5)
             k = int(times.argmin())
             if times[k] < np.inf and (best is None or times[k] <= best[0]):
                 least = [(float(times[k]), column[int(rows[i])].as_py()) for i in np.flatnonzero(times == times[k])]
@@ -147,15 +182,14 @@ def _race(columns: Iterable[pa.Array], rarity: np.ndarray, centres: np.ndarray,
 
 def _sums(columns: Iterable[pa.Array], rarity: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Topics x slots: the sums of the unit vectors of the texts that are nearest to each centre."""
-    topics = centres.shape[1]
-    out = np.zeros(topics * TOPIC_SLOTS, np.int64)
+    out = np.zeros(centres.size, np.int64)
     for column in columns:
         for _, first, at, n in _entries(column):
             units = _units(rarity, first, at, n)
-            owner = _nearness(centres, units, first, at).argmax(1)
+            owner = _nearness(centres, units, first, at).argmax(0)
             place = np.repeat(owner * TOPIC_SLOTS, np.diff(first, append=len(at))) + at
             out += np.bincount(place, np.rint(units * UNIT), len(out)).astype(np.int64)
-    return out.reshape(topics, TOPIC_SLOTS)
+    return out.reshape(centres.shape)
 
 
 @dataclass
@@ -202,31 +236,31 @@ class _Apart:
 def _learned(bags: _Here | _Apart, seed: int) -> TopicModel:
     """Spherical k-means from k-means++ seeds, over all bags in every pass."""
     counts = bags.total(_counts)
-    centres = np.zeros((TOPIC_SLOTS, 0), np.float32)
+    centres = np.zeros((0, TOPIC_SLOTS), np.float32)
     rarity = np.zeros(TOPIC_SLOTS) if counts is None else np.log((counts[0, -1] + 1) / (counts[0, :-1] + 1.0)) ** 2
-    while centres.shape[1] < TOPICS and rarity.any():
+    while len(centres) < TOPICS and rarity.any():
         found = bags.least(partial(_race, rarity=rarity, centres=centres, seed=seed))
         if found is None:  # fewer directions than topics
             break
-        at, n = np.unique(np.frombuffer(found[1], np.uint16), return_counts=True)
+        _, first, at, n = next(_entries(pa.array([found[1]], pa.binary())))
         centre = np.zeros(TOPIC_SLOTS, np.float32)
-        centre[at] = _units(rarity, np.zeros(1, np.int64), at, n)
-        centres = np.column_stack([centres, centre])
-    if not centres.shape[1]:
-        return TopicModel(np.zeros((TOPIC_SLOTS, 1), np.int32))
+        centre[at] = _units(rarity, first, at, n)
+        centres = np.vstack([centres, centre])
+    if not len(centres):
+        return TopicModel(np.zeros((1, TOPIC_SLOTS), np.int32))
     for _ in range(TOPIC_ROUNDS):
-        sums = bags.total(partial(_sums, rarity=rarity, centres=centres)).T.astype(np.float64)
-        norms = np.sqrt((sums * sums).sum(0))
+        sums = bags.total(partial(_sums, rarity=rarity, centres=centres)).astype(np.float64)
+        norms = np.sqrt((sums * sums).sum(1))[:, None]
         moved = np.where(norms > 0, sums / np.maximum(norms, 1e-12), centres).astype(np.float32)
         if (moved == centres).all():  # further rounds change nothing
             break
         centres = moved
-    return TopicModel(np.rint(centres * rarity[:, None] * 4096).astype(np.int32))
+    return TopicModel(np.rint(centres * rarity * 4096).astype(np.int32))
 
 
 def learn_topics(rows: list[np.ndarray], seed: int = 10) -> TopicModel:
     """Topics of texts given as their words' slots; the order of rows does not matter."""
-    return _learned(_Here(pa.array([np.sort(r.astype(np.uint16)).tobytes() for r in rows], pa.binary())), seed)
+    return _learned(_Here(_bags(rows)), seed)
 
 
 def learn_topics_of(bags: DataFrame, seed: int = 10) -> TopicModel:
@@ -300,10 +334,11 @@ def with_bags(docs: DataFrame, text_col: str, source_col: str, lang_col: str, to
     def made(column: pa.Array) -> pa.Array:
         found, words = [], []
         for h in tb.each_words(column):
-            found.append(_bag(h) if bags else None)
+            if bags:
+                found.append(_slots(h))
             words.append(len(h))
         tb.release()
-        return pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(words, pa.int64())], ["bag", "words"])
+        return pa.StructArray.from_arrays([_bags(found) if bags else pa.nulls(len(words), pa.binary()), pa.array(words, pa.int64())], ["bag", "words"])
 
     small_batches(docs.sparkSession)
     seen = docs.withColumn(names["made"], made(F.col(text_col).cast("string")))
@@ -313,7 +348,7 @@ def with_bags(docs: DataFrame, text_col: str, source_col: str, lang_col: str, to
 
 def with_topics(bagged: DataFrame, model: TopicModel, names: dict[str, str]) -> DataFrame:
     """The topic of every bag, in its place."""
-    shared = bagged.sparkSession.sparkContext.broadcast(model)  # TOPIC_SLOTS x TOPICS
+    shared = bagged.sparkSession.sparkContext.broadcast(model)  # TOPICS x TOPIC_SLOTS
 
     @F.arrow_udf("string")
     def topic(column: pa.Array) -> pa.Array:

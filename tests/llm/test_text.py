@@ -470,6 +470,36 @@ def test_topics_of_every_text(spark):
         assert {x.doc_id: (x["__topic"], x["__tokens"]) for x in got} == dict(enumerate(zip(expected, words.tolist())))
 
 
+def test_topic_passes_do_no_needless_work(spark, monkeypatch):
+    """A bag has an entry per distinct word; seeds are those of a race of all texts, and most texts that
+    cannot win are left out of it."""
+    r = random.Random(13)
+    texts = [" ".join(f"{'abcdefghi'[i % 9]}{r.randrange(200)}" for _ in range(40)) + " the" * r.randrange(9) for i in range(12_000)]
+    texts += ["", "the " * 1_200_000 + "end"]
+    slots = [mixing._slots(h) for h in tb.each_words(pa.array(texts))]
+    names = {n: n for n in ("made", "bag", "topic", "source", "lang", "tokens")}
+    long = mixing.with_bags(docs_of(spark, [(1, texts[-1])]), "text", "source", "lang", None, names).first()
+    assert long.tokens == 1_200_001 and len(long.bag) <= 64
+
+    near, compared, seeds = mixing._nearness, [], []
+    monkeypatch.setattr(mixing, "_nearness", lambda centres, units, first, at: (compared.append(len(first)), near(centres, units, first, at))[1])
+    monkeypatch.setattr(mixing, "TOPIC_ROUNDS", 0)  # the seeds alone
+    weights = mixing.learn_topics(slots).weights
+    assert sum(compared) < 0.3 * len(texts) * (mixing.TOPICS - 1)
+
+    counted = [np.unique(s, return_counts=True) for s in slots if len(s)]
+    rarity = np.log((len(counted) + 1) / (np.bincount(np.concatenate([a for a, _ in counted]), minlength=mixing.TOPIC_SLOTS) + 1.0)) ** 2
+    units = np.zeros((len(counted), mixing.TOPIC_SLOTS), np.float32)
+    for u, (a, n) in zip(units, counted):
+        u[a] = np.sqrt(n) * rarity[a] / np.linalg.norm(np.sqrt(n) * rarity[a])
+    for k in range(mixing.TOPICS):
+        drawn = [tb.mix((a * 2**40 + n).astype(np.uint64)).sum() + np.uint64(10_000 + k) for a, n in counted]
+        times = -np.log1p(-(tb.mix(np.array(drawn)) >> np.uint64(11)).astype(float) / 2**53)
+        far = 1 - (units @ units[seeds].T).max(1) if seeds else np.ones(len(units))
+        seeds.append(int(np.divide(times, far, out=np.full(len(units), np.inf), where=far > 1e-5).argmin()))
+    assert np.abs(weights - np.rint(units[seeds] * rarity * 4096)).max() <= 1
+
+
 def test_quality_of_every_label(spark, monkeypatch):
     """Every labelled text is learned from, by shards whose weights do not depend on partitions."""
     texts = [(i, f"a{i} b{i}") for i in range(15_000)]
