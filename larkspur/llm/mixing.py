@@ -8,8 +8,8 @@ scaled so that the expected number of sampled tokens is a given share, none abov
 draws from a hash of the document's id and a seed: it is repeatable and needs no order.
 
 Topics are learned: spherical k-means over hashed words, weighted by their rarity, of every whole
-text, which then goes to its nearest topic. Texts are read once, for their tokens and for bags: four
-bytes a distinct word. Every pass of the learning reads all bags where they are; sums of whole numbers
+text, which then goes to its nearest topic. Texts are read once, for their tokens and for bags: two
+bytes a distinct word, a few more for frequent ones. Every pass of the learning reads all bags where they are; sums of whole numbers
 leave a task, so the model depends neither on batches nor on partitions.
 """
 
@@ -35,10 +35,11 @@ TOLERANCE, MAX_ROUNDS = 1e-9, 500
 #: Topics: how many, slots of hashed words, rounds of k-means at most, and the whole numbers that a
 #: text's unit vector is summed in.
 TOPICS, TOPIC_SLOTS, TOPIC_ROUNDS, UNIT = 8, 1 << 13, 12, 1 << 24
-#: An entry of a bag is a slot and, in its lower bits, a count; a greater count takes several entries.
+#: An entry of a bag is a slot and, in its lower bits, a digit of its count. The entries of a slot have
+#: the digits from the lowest to the highest.
 SLOT_BITS = TOPIC_SLOTS.bit_length() - 1
-COUNT_BITS = 32 - SLOT_BITS
-COUNT_MOST = (1 << COUNT_BITS) - 1
+DIGIT_BITS = 16 - SLOT_BITS
+DIGIT = (1 << DIGIT_BITS) - 1
 
 
 @dataclass
@@ -72,13 +73,16 @@ def _bags(texts: list[np.ndarray]) -> pa.Array:
     new[1:] = keys[1:] != keys[:-1]
     at = np.flatnonzero(new)
     keys, n = keys[at], np.diff(at, append=len(keys))
-    parts = -(-n // COUNT_MOST)
-    if parts.max(initial=0) > 1:
-        last, rest = np.cumsum(parts) - 1, n - (parts - 1) * COUNT_MOST
-        keys, n = np.repeat(keys, parts), np.full(parts.sum(), COUNT_MOST)
-        n[last] = rest
-    entries = ((keys & (TOPIC_SLOTS - 1)) << COUNT_BITS | n).astype(np.uint32)
-    offsets = (4 * np.searchsorted(keys, np.arange(len(texts) + 1) << SLOT_BITS)).astype(np.int32)
+    at = np.flatnonzero(n > DIGIT)
+    rest, more = n[at] >> DIGIT_BITS, [(at[:0], at[:0])]
+    while len(at):
+        more.append((at, rest & DIGIT))
+        at, rest = at[rest > DIGIT], rest[rest > DIGIT] >> DIGIT_BITS
+    at, digits = (np.concatenate(x) for x in zip(*more, strict=True))
+    # further digits of one entry keep their order
+    keys, n = np.insert(keys, at + 1, keys[at]), np.insert(n & DIGIT, at + 1, digits)
+    entries = ((keys & (TOPIC_SLOTS - 1)) << DIGIT_BITS | n).astype(np.uint16)
+    offsets = (2 * np.searchsorted(keys, np.arange(len(texts) + 1) << SLOT_BITS)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(entries)])
 
 
@@ -89,15 +93,17 @@ def _entries(column: pa.Array):
         rows = np.flatnonzero(offsets[i + 1 : j + 1] > offsets[i:j])
         if not len(rows):
             continue
-        entries = data[offsets[i] : offsets[j]].view(np.uint32)
-        first = (offsets[i + rows] - offsets[i]) // 4
-        at, n = (entries >> COUNT_BITS).astype(np.int64), (entries & COUNT_MOST).astype(np.int64)
-        if n.max() == COUNT_MOST:  # entries of one slot become one
-            new = np.ones(len(at), bool)
-            new[1:] = at[1:] != at[:-1]
-            new[first] = True
-            whole = np.flatnonzero(new)
-            at, n, first = at[whole], np.add.reduceat(n, whole), np.searchsorted(whole, first)
+        entries = data[offsets[i] : offsets[j]].view(np.uint16)
+        first = (offsets[i + rows] - offsets[i]) // 2
+        slots = entries >> DIGIT_BITS
+        new = np.ones(len(slots), bool)
+        np.not_equal(slots[1:], slots[:-1], out=new[1:])
+        new[first] = True
+        whole, more = np.flatnonzero(new), np.flatnonzero(~new)
+        at, n = slots[whole].astype(np.int64), (entries[whole] & DIGIT).astype(np.int64)
+        owner = np.searchsorted(whole, more) - 1
+        np.add.at(n, owner, (entries[more] & DIGIT).astype(np.int64) << DIGIT_BITS * (more - whole[owner]))
+        first = np.searchsorted(whole, first)
         yield i + rows, first, at, n
 
 

@@ -470,6 +470,15 @@ def test_topics_of_every_text(spark):
         assert {x.doc_id: (x["__topic"], x["__tokens"]) for x in got} == dict(enumerate(zip(expected, words.tolist())))
 
 
+def test_bags_keep_every_count():
+    rng = np.random.default_rng(0)
+    texts = [np.repeat(rng.permutation(mixing.TOPIC_SLOTS)[:k], rng.choice([1, 2, 7, 8, 9, 63, 64, 4095, 4096, 70_000], k)) for k in (5, 0, 3, 1, 0, 300, 0)]
+    bags = mixing._bags(texts)
+    got = {int(r): (at[p:q].tolist(), n[p:q].tolist()) for rows, first, at, n in mixing._entries(bags.slice(1)) for r, p, q in zip(rows + 1, first, [*first[1:], len(at)])}
+    assert got == {i: tuple(x.tolist() for x in np.unique(t, return_counts=True)) for i, t in enumerate(texts) if i and len(t)}
+    assert not list(mixing._entries(mixing._bags([]))) and sum(map(len, bags.to_pylist())) < 2 * 6 * 309
+
+
 def test_topic_passes_do_no_needless_work(spark, monkeypatch):
     """A bag has an entry per distinct word; seeds are those of a race of all texts, and most texts that
     cannot win are left out of it."""
